@@ -28,7 +28,7 @@ MEASURES = {
     "symbols": (4, 60),
     "capitals": (20, 300),
     "stress": (4, 60),
-    "same_lines": (20, 300),
+    "same_lines": (20, 400),
     "repeated": (20, 300),
 }
 #: Fence: third quartile + FENCE * the distance between the quartiles.
