@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .hashing import WordHashes, mixed
 from .shared import cut
 
 BANDS, ROWS = 26, 5
@@ -38,31 +39,13 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 DOUBT = 16.0
 #: Buckets up to this size compare all that is left in one round.
 SMALL_BUCKET = 32
-CACHED_WORDS = 200_000
 
 _RNG = np.random.default_rng(20240131)
 _ODD = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the input moves every bit of the output."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_hashes = WordHashes()
 
 
 def shingle_set(text: str | None, n: int = 3) -> np.ndarray:

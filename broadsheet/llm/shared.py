@@ -31,6 +31,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that a lost executor never replays what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    # what this write shuffles is in the table afterwards, so its shuffle files can go when it is done
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
