@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dedup, quality, secrets, substring, suffixes
+from . import bpe, media, mixing, near_dedup, pii, quality, secrets, substring, suffixes
 from .shared import cut, small_batches
 
 
@@ -64,6 +64,36 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, quality.sketches(measured)).drop("lang", "source")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    spans = F.col("found")
+    return found.select(
+        "doc_id",
+        *[pii.count(spans, kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS],
+        F.sha2(pii.listed(pii.base(spans)), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+    )
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    stored = media.store(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    read = stored.withColumns({"payload": media.payload(), "sniffed": media.sniff("media", F.lit("text/plain"))})
+    read = read.withColumn("inside", media.sniff("payload"))
+    pieces = F.transform(F.col("inside.embedded"), lambda x: F.concat_ws(":", x["type"], x["start"], x["end"]))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", "sniffed.type", "sniffed.length", "inside.type", F.array_join(pieces, ",")).alias("feature"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     rows = cut(mixing.sized(docs).drop("text"), "mix-sizes")
@@ -77,6 +107,8 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_pii": op7_pii,
+    "op8_media_columns": op8_media_columns,
     "op10_mixing": op10_mixing,
 }
 
