@@ -32,7 +32,7 @@ def byte_symbols(text: bytes) -> np.ndarray:
 def remove(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that stay) of docs (doc_id, text)."""
     placed = repeats.numbered(docs.select("doc_id", "text"))
-    found = repeats.spans(placed, byte_symbols, length, max(1, length // 5), later_only=True)
+    found = repeats.spans(placed, byte_symbols, length, max(1, 2 * length // 5), later_only=True)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
