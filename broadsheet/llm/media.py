@@ -295,7 +295,7 @@ def sniff(media: str | Column = "media", declared: str | Column | None = None) -
                 inside = [{"type": k, "start": s, "end": e} for k, s, e in found[bool(head) :]]
                 rows.append((kind, bool(head) and kind != stated, head[2] if head else None, inside))
             out = pd.DataFrame(rows, columns=["type", "corrected", "length", "embedded"])
-            yield out.astype({"length": "Int64"})
+            yield out.astype({"type": object, "length": "Int64"})
 
     said = F.lit(None).cast("string") if declared is None else declared
     return sniffed(media, said)

@@ -132,7 +132,7 @@ def evidence(docs: DataFrame) -> DataFrame:
                     entity = _signed(hash_of(_entity(text, span)))
                     rows += [(entity, w, hash_of(w) % BITS, context, key) for w in set(words)]
             yield pd.DataFrame(rows, columns=["entity", "term", "bit", "context", "key"]).astype(
-                {"entity": "int64", "bit": "int64", "context": "int64", "key": "int64"}
+                {"term": object, "entity": "int64", "bit": "int64", "context": "int64", "key": "int64"}
             )
 
     return (
@@ -178,7 +178,7 @@ def postings(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 on = np.nonzero(bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1)[0]
                 terms += [words[i] for i in on]
                 keys += [key] * len(on)
-            yield pd.DataFrame({"term": terms, "key": np.array(keys, np.int64)})
+            yield pd.DataFrame({"term": pd.Series(terms, dtype=object), "key": np.array(keys, np.int64)})
 
     found = docs.select(_key().alias("key"), "text").mapInPandas(held, "term string, key long").distinct()
     return found.join(candidates.select("term"), "term")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, near_dedup, pii, quality, secrets, substring, suffixes
+from . import bpe, licenses, media, mixing, near_dedup, pii, quality, secrets, substring, suffixes
 from .shared import cut, small_batches
 
 
@@ -94,6 +94,14 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["name"])))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses")
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     rows = cut(mixing.sized(docs).drop("text"), "mix-sizes")
@@ -109,6 +117,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pii": op7_pii,
     "op8_media_columns": op8_media_columns,
+    "op9_license_scans": op9_license_scans,
     "op10_mixing": op10_mixing,
 }
 

@@ -1,0 +1,45 @@
+import random
+
+from broadsheet.llm import licenses
+
+from .corpus import SCHEMA, table, texts
+
+
+def pairs(text):
+    words = licenses._tokens(text or "")
+    return {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}
+
+
+def plain(text):
+    return {name for name, notice in licenses.TEMPLATES if pairs(notice) <= pairs(text)}
+
+
+def test_whole_notices_are_found_and_others_are_not(spark):
+    rng = random.Random(9)
+    given = texts(9)
+    notices = [t for _, t in licenses.TEMPLATES]
+    for _ in range(80):
+        words = [f"w{rng.randrange(99)}" for _ in range(rng.randrange(0, 60))]
+        for notice in rng.sample(notices, rng.randrange(0, 3)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice([notice, notice.upper(), notice.replace(" ", "\n")]))
+        given.append(" ".join(words))
+    given += ["the mit license", "licensed under", "General Public", notices[0] * 3]
+    got = {r.doc_id: {x["name"] for x in r.licenses} for r in licenses.scan(table(spark, given)).collect()}
+    assert len(got) == len(given)
+    for i, t in enumerate(given):
+        assert plain(t) <= got[i], t
+        if i < 70 or i >= len(given) - 4:
+            assert got[i] == plain(t), t
+
+
+def test_near_wordings(spark):
+    text = "x y Licensed under the Apache License , Version 2.0 z"
+    other = "Permission is hereby granted, free of charge, to any person obtaining one copy of this software."
+    got = [[x["name"] for x in r.licenses] for r in licenses.scan(table(spark, [text, other])).orderBy("doc_id").collect()]
+    assert got == [["Apache-2.0"], ["MIT-grant"]]
+
+
+def test_empty_and_nulls(spark):
+    assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+    docs = spark.createDataFrame([(None, None, None, None, None, "k")], SCHEMA)
+    assert licenses.scan(docs).first()["licenses"] == []
