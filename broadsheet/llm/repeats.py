@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Powers, mixed
-from .shared import cut
+from .shared import cut, empty
 
 CHUNK = 1 << 20
 _FIRST, _SECOND, _THIRD = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
@@ -167,6 +167,7 @@ def spans(
     every = cut(_segments(docs, symbols, length, anchor, extend), "repeat-anchors")
     again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     alive = cut(every.join(again, "anchor"), "repeat-alive")
+    empty(every)
 
     # one row for each different segment, with the first place where it stands
     kinds = cut(
@@ -194,18 +195,30 @@ def spans(
         )
     weight = F.when(F.col("n") > 1, 2).otherwise(1).cast("int").alias("weight")
     probes = open_.select("first.at", "first.place", weight).select("at", *_bounds(), "weight")
-    windows = cut(_windows(docs, probes, symbols, length), "repeat-windows")
+    copies = kinds.where("n > 1")
     if later_only:
-        firsts = windows.groupBy("w1", "w2").agg(F.count("*").alias("_n"), F.min(F.struct("at", "start")).alias("_first"))
-        hit = windows.join(firsts.where("_n > 1"), ["w1", "w2"]).where(F.struct("at", "start") != F.col("_first"))
-        copies = kinds.where("n > 1").select("anchor", "segment", "first")
-        whole = alive.join(copies, ["anchor", "segment"]).where(F.struct("at", "place") != F.col("first"))
+        others = F.struct("at", "place") != F.col("first")
+        whole = alive.join(copies.select("anchor", "segment", "first"), ["anchor", "segment"]).where(others)
+        whole = cut(whole.select("at", *_bounds()), "repeat-whole")
+        empty(alive)
+        # the first place of each window; the windows of a probe that are not among them stood earlier
+        probes = cut(probes, "repeat-probes")
+        windows = _windows(docs, probes, symbols, length)
+        firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("at", "start")).alias("first"))
+        firsts = cut(firsts.select("first.at", F.col("first.start").alias("start")), "repeat-firsts")
+        none = F.array().cast("array<int>")
+        first_of = firsts.groupBy("at").agg(F.sort_array(F.collect_list("start")).alias("firsts"))
+        probed = probes.groupBy("at").agg(F.flatten(F.collect_list(F.sequence("low", "high"))).alias("starts"))
+        hit = probed.join(first_of, "at", "left").select(
+            "at", F.explode(F.array_except("starts", F.coalesce("firsts", none))).alias("start")
+        )
     else:
+        windows = cut(_windows(docs, probes, symbols, length), "repeat-windows")
         often = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("_n")).where("_n > 1")
         hit = windows.join(often, ["w1", "w2"])
-        whole = alive.join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"])
+        whole = alive.join(copies.select("anchor", "segment"), ["anchor", "segment"]).select("at", *_bounds())
     hit = hit.select("at", F.col("start").alias("low"), F.col("start").alias("high"))
-    all_spans = whole.select("at", *_bounds()).union(hit)
+    all_spans = whole.union(hit)
     return cut(all_spans.groupBy("at").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "repeat-spans")
 
 

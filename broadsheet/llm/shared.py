@@ -37,6 +37,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def empty(df: DataFrame) -> None:
+    """Give up the rows of a table that `cut` wrote, once nothing reads it any more."""
+    path = df.inputFiles()
+    if path:
+        folder = path[0].rsplit("/", 1)[0]
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a local one is used only where that is unset, as in tests."""
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
