@@ -200,7 +200,8 @@ def label(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
         )
         if open_.isEmpty():
             break
-        place = F.pmod(F.xxhash64("id", "bucket"), F.col("n"))
+        # one order for all buckets, so that buckets with the same members name the same heads and share their pairs
+        place = F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") / (1 << 30))
         mine = (F.col("n") <= SMALL_BUCKET) | ((place >= first_turn) & (place < done))
         heads = open_.where(mine).select("bucket", F.col("id").alias("head"), F.col("component").alias("_c"))
         more = (
