@@ -165,7 +165,7 @@ def _bit_map(candidates: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """term, key for each candidate term and each text that holds it."""
+    """term, key for each candidate term, and for terms that share its bit, and each text that holds it."""
     shared = docs.sparkSession.sparkContext.broadcast(_bit_map(candidates).tobytes())
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,8 +180,7 @@ def postings(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 keys += [key] * len(on)
             yield pd.DataFrame({"term": pd.Series(terms, dtype=object), "key": np.array(keys, np.int64)})
 
-    found = docs.select(_key().alias("key"), "text").mapInPandas(held, "term string, key long").distinct()
-    return found.join(candidates.select("term"), "term")
+    return docs.select(_key().alias("key"), "text").mapInPandas(held, "term string, key long").distinct()
 
 
 def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -193,6 +192,9 @@ def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where(F.col("contexts") >= MIN_CONTEXTS),
         "pii-pairs",
     )
+    # a word stands in at least the texts that have it next to some entity: where those are too many, so are all
+    anywhere = seen.groupBy("term").agg(F.count_distinct("key").alias("_near"))
+    pairs = cut(pairs.join(anywhere, "term").where(F.col("together") >= GENERALISE * F.col("_near")).drop("_near"), "pii-open")
     candidates = pairs.select("term", "bit").distinct()
     held = cut(postings(docs, candidates), "pii-postings")
     of_term = held.groupBy("term").agg(F.count("*").alias("texts"))
