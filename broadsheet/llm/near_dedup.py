@@ -8,11 +8,12 @@ taking the larger of each, and two sets agree in a register with a probability c
 2. Registers are cut in bands; classes with equal values in a band share a bucket. In each bucket all are compared
    with its smallest member, which is one pair for each member and not one for each pair of members.
 3. A pair is dropped if its sizes alone forbid the similarity, or if the joint likelihood of its registers (how many
-   are larger, equal, smaller, given both sizes) falls short by more than DOUBT at every similarity that would do.
+   are larger, equal, smaller, given both sizes) falls short by more than DOUBT (four standard deviations) at every similarity that would do.
 4. What is left is compared on whole shingle sets; those confirmed are links, and links make components.
 5. A bucket whose members are not yet all connected goes on: further members are compared with all that are not in
-   their component, twice as many in each round, until every member had its turn or the bucket is connected. So no
-   pair that shares a bucket is lost, while groups of copies, however large, cost one comparison a member.
+   their component, GROWTH times as many in each round, until every member had its turn or the bucket is connected.
+   Members meet in blocks of BLOCK, and a row is made only for a pair that is still plausible, in the first band that
+   it shares. So no pair that shares a bucket is lost, while groups of copies cost about one comparison a member.
 
 A pair at exactly 0.85 misses all 26 bands of 5 registers with probability (1 - 0.85^5)^26 < 3e-7.
 
@@ -36,7 +37,8 @@ from .shared import cut
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-DOUBT = 16.0
+DOUBT = 8.0
+BLOCK, GROWTH, AT_ONCE = 256, 4, 8192
 #: Buckets up to this size compare all that is left in one round.
 SMALL_BUCKET = 32
 
@@ -173,16 +175,15 @@ def label(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
     )
     classes = cut(classes, "near-classes")
     slot = lambda i: F.xxhash64(F.lit(i), F.substring("registers", i * ROWS * 2 + 1, ROWS * 2))
-    banded = classes.select("id", F.explode(F.array(*[slot(i) for i in range(BANDS)])).alias("bucket"))
+    banded = classes.select("id", F.posexplode(F.array(*[slot(i) for i in range(BANDS)])).alias("band", "bucket"))
     sizes = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     placed = cut(banded.join(sizes, "bucket"), "near-buckets")
 
     known = classes.select("id", "n_shingles", "registers")
-    first = placed.where("id <> hub").select(*_ordered("hub", "id")).distinct()
-    tried = cut(first, "near-pairs")
-    links = _links(tried, known, docs, percent, shingle)
+    first = cut(placed.where("id <> hub").select(*_ordered("hub", "id")).distinct(), "near-pairs")
+    links = _links(cut(plausible(first, known, percent), "near-likely"), docs, percent, shingle)
     groups = components(links)
-    turn = 0
+    since, until = 0, GROWTH
     while True:
         # buckets that are not connected yet, and whose members have not all had their turn
         inside = placed.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -192,32 +193,16 @@ def label(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
             .where("_min < _max")
             .select("bucket")
         )
-        first_turn, done = (2**turn - 1), F.lit(2 ** (turn + 1) - 1)
-        open_ = cut(
-            inside.where((F.col("n") > 2) & (F.col("n") > (SMALL_BUCKET if turn else 0)) & (F.col("n") > first_turn))
-            .join(apart, "bucket"),
-            "near-open",
-        )
+        waiting = (F.col("n") > 2) & (F.col("n") > (SMALL_BUCKET if since else 0)) & (F.col("n") > since)
+        open_ = cut(inside.where(waiting).join(apart, "bucket"), "near-open")
         if open_.isEmpty():
             break
-        # one order for all buckets, so that buckets with the same members name the same heads and share their pairs
-        place = F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") / (1 << 30))
-        mine = (F.col("n") <= SMALL_BUCKET) | ((place >= first_turn) & (place < done))
-        heads = open_.where(mine).select("bucket", F.col("id").alias("head"), F.col("component").alias("_c"))
-        more = (
-            open_.join(heads, "bucket")
-            .where("component <> _c")
-            .select(*_ordered("head", "id"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        more = cut(more, "near-pairs")
-        tried = tried.union(more)
-        found = _links(more, known, docs, percent, shingle)
+        more = cut(_in_blocks(open_, known, since, until, percent).distinct(), "near-likely")
+        found = _links(more, docs, percent, shingle)
         if not found.isEmpty():
             links = links.union(found)
             groups = components(links)
-        turn += 1
+        since, until = until, until * GROWTH
 
     of = has.join(classes.select("n_shingles", "f1", "f2", "id"), ["n_shingles", "f1", "f2"]).join(groups, "id", "left")
     found = of.groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
@@ -231,11 +216,57 @@ def label(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
     )
 
 
-def _links(pairs: DataFrame, known: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    likely_pairs = cut(plausible(pairs, known, percent), "near-likely")
-    wanted = likely_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _in_blocks(open_: DataFrame, known: DataFrame, since: int, until: int, percent: int) -> DataFrame:
+    """Plausible pairs (a, b) of different components of a bucket, one of them since-th to until-th of its bucket.
+
+    The order in a bucket is that of a hash of the identifier, the same for all buckets, so that buckets with the same
+    members agree on who comes first. In small buckets all members have their turn at once.
+    """
+    place = F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") / (1 << 30))
+    member = F.struct("id", "component", "place", "n_shingles", "registers")
+    blocks = (
+        open_.withColumn("place", place)
+        .join(known, "id")
+        .groupBy("bucket", "band", "n", F.floor(F.col("place") / BLOCK).alias("block"))
+        .agg(F.collect_list(member).alias("members"), F.min("place").alias("_low"), F.max("place").alias("_high"))
+    )
+    turn = (F.col("n") <= SMALL_BUCKET) | ((F.col("_low") < until) & (F.col("_high") >= since))
+    heads = blocks.where(turn).select("bucket", F.col("block").alias("_b"), F.col("members").alias("heads"))
+    both = blocks.join(heads, "bucket").where("_b <= block").select("band", "n", "_b", "block", "heads", "members")
+
+    def table(members) -> tuple[np.ndarray, ...]:
+        column = lambda c: np.fromiter((m[c] for m in members), np.int64, len(members))
+        sketches = np.frombuffer(b"".join(m["registers"] for m in members), "<u2").reshape(-1, REGISTERS)
+        return column("id"), column("component"), column("place"), column("n_shingles").astype(float), sketches
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for band, n, b, block, heads_, members in x.itertuples(index=False):
+                h, m = table(heads_), table(members)
+                wanted = h[1][:, None] != m[1][None, :]
+                if b == block:
+                    wanted &= (h[0][:, None] < m[0][None, :])
+                if n > SMALL_BUCKET:
+                    least = np.minimum(h[2][:, None], m[2][None, :])
+                    wanted &= (least >= since) & (least < until)
+                i, j = np.nonzero(wanted)
+                for at in range(0, len(i), AT_ONCE):
+                    p, q = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+                    r, t = h[4][p], m[4][q]
+                    agree = (r == t).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+                    p, q, r, t = p[agree], q[agree], r[agree], t[agree]
+                    ok = likely(h[3][p], m[3][q], (r > t).sum(1), (r < t).sum(1), percent)
+                    one, other = h[0][p[ok]], m[0][q[ok]]
+                    yield pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})
+
+    return both.mapInPandas(keep, "a long, b long")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The pairs whose texts are similar enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "near-texts")
-    return cut(confirm(likely_pairs, texts, percent, shingle), "near-links")
+    return cut(confirm(pairs, texts, percent, shingle), "near-links")
 
 
 def keep_one(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
