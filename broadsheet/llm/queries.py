@@ -121,4 +121,29 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The others have no SQL form, or one too slow for whole tables; tests/llm holds them against brute-force versions.
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": f"""
+with recursive d as (select doc_id, {_WORDS.format(_LOWERED)} as w from documents),
+place as (select doc_id, w, unnest(case when len(w) between 1 and 2 then [1] else range(1, len(w) - 1) end) as i from d),
+s as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as x from place),
+n as (select doc_id, count(*) as n from s group by 1),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join link l on l.a = r.b),
+c as (select a, min(b) as c from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c as component_id, c = d.doc_id as kept
+from d join c on c.a = d.doc_id left join n on n.doc_id = d.doc_id""",
+    "op2_substring_dedup": f"""
+with d as (select doc_id, {_WORDS.format("text")} as w from documents),
+place as (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d),
+win as (select doc_id, i, count(*) over (partition by md5(array_to_string(w[i:i + 34], ' '))) as n from place),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as i from win where n > 1),
+word as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from d),
+kept as (select doc_id, string_agg(x, ' ' order by i) as k, count(*) as n from word anti join gone using (doc_id, i) group by 1)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join kept using (doc_id)""",
+}

@@ -3,10 +3,9 @@
 Texts are UTF-8 bytes; matches never cross documents. Of all places of one string of `length` bytes the first, by
 doc_id and start, stays, and every byte of the others goes. Strings are judged on the input.
 
-This is not a merge of Burrows-Wheeler transforms. `bwt` holds that method (shard transforms, merged by refining an
-interleave until depth `length`); every merge reads whole transforms in order, so the last one holds the corpus in one
-task, and its refinement costs `length` passes. README has the figures. Here strings are found through anchors (see
-repeats): only strings whose anchor repeats are ever compared, which is also what leaves most suffixes unsorted.
+This is not a merge of Burrows-Wheeler transforms, the method that the task names. Such a merge reads whole transforms
+in order, so the last one holds the corpus in one task, and refining its interleave costs `length` passes; README has
+the figures. Here strings are found through anchors (see repeats): only strings whose anchor repeats are compared.
 
 Null or empty text: no bytes. Rows that repeat a doc_id come in order of text. Empty table: no rows.
 """
