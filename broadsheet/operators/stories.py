@@ -154,3 +154,21 @@ def crossed_terms(items: DataFrame) -> DataFrame:
     """story_id, term, camps: terms that two camps of a story or more use."""
     each = items.select("story_id", "camp", F.explode(F.array_distinct(tokens(F.col("summary_text")))).alias("term"))
     return each.groupBy("story_id", "term").agg(F.count_distinct("camp").alias("camps")).where("camps >= 2")
+
+
+def framing(items: DataFrame, families: dict[str, tuple[str, ...]], most: int = 3) -> DataFrame:
+    """story_id, family, camp, words: vocabulary that camps of a story choose differently, `most` families a story.
+
+    A family counts if two camps use it and two of its words are used. Words count wherever they stand in the lower-case
+    text. Families are tried in their order, inside the row, so no join is needed.
+    """
+    low = F.lower(F.concat_ws(". ", "title", "summary_text"))
+    listed = [F.struct(F.lit(i).alias("i"), F.lit(f).alias("family"), F.lit(w).alias("word")) for i, (f, ws) in enumerate(families.items()) for w in ws]
+    used = items.select("story_id", "camp", F.explode(F.filter(F.array(*listed), lambda x: low.contains(x["word"]))).alias("u")).distinct()
+    split = used.groupBy("story_id", F.col("u.i").alias("i"), F.col("u.family").alias("family")).agg(
+        F.count_distinct("camp").alias("_camps"), F.count_distinct("u.word").alias("_words")
+    )
+    order = Window.partitionBy("story_id").orderBy("i")
+    kept = split.where("_camps >= 2 and _words >= 2").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+    by_camp = used.groupBy("story_id", F.col("u.family").alias("family"), "camp").agg(F.array_sort(F.collect_set("u.word")).alias("words"))
+    return by_camp.join(kept.select("story_id", "family"), ["story_id", "family"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
-from ..operators import clusters, edition, stories
+from ..operators import clusters, edition, filters, stories
 from ..sources.feeds import FEED_ITEMS, feed_items
 from ..streaming import notes
 
@@ -203,9 +203,8 @@ def embedding_cosine(spark, sf_dir):
 
 @_query(f"select event_id from events where ts is null or ts between timestamp '{NOW}' - interval 3 day and timestamp '{NOW}' + interval 2 hour")
 def age_window(spark, sf_dir):
-    now = F.lit(NOW).cast("timestamp_ntz")
-    inside = F.col("ts").between(now - F.expr("interval 3 days"), now + F.expr("interval 2 hours"))
-    return _read(spark, sf_dir, "events").where(F.col("ts").isNull() | inside).select("event_id")
+    inside = filters.in_time(F.col("ts"), F.lit(NOW).cast("timestamp_ntz"))
+    return _read(spark, sf_dir, "events").where(inside).select("event_id")
 
 
 @_query("select user_id, time_bucket(interval 60 second, ts) as minute, count(*) as n, greatest(count(*) - 5, 0) as refused from events group by 1, 2")
@@ -318,6 +317,36 @@ def per_outlet_cap(spark, sf_dir):
     return edition.capped(feed_items(spark, sf_dir), "outlet", 3, 6, F.desc("ts"), F.col("ord")).select("ord", "outlet")
 
 
+#: Words that the test texts do hold, in families as the contested vocabulary has them.
+FAMILIES = {"size": ("hether", "anand"), "kind": ("entre", "eaux"), "rank": ("heit", "ung"), "turn": ("ción", "mente")}
+_FAMILIES = ", ".join(f"({i}, '{f}', '{w}')" for i, (f, ws) in enumerate(FAMILIES.items()) for w in ws)
+
+
+@_query(f"""with {ITEMS}, f(i, family, word) as (values {_FAMILIES}),
+used as (select distinct story_id, camp, i, family, word from items join f on contains(lower(title || '. ' || summary_text), word)),
+split as (select story_id, i, family from used group by 1, 2, 3 having count(distinct camp) >= 2 and count(distinct word) >= 2),
+kept as (select story_id, family from (select *, row_number() over (partition by story_id order by i) as k from split) where k <= 3)
+select story_id, family, camp, list_sort(list(distinct word)) as words from used join kept using (story_id, family) group by 1, 2, 3""")
+def framing_splits(spark, sf_dir):
+    return stories.framing(feed_items(spark, sf_dir), FAMILIES)
+
+
+@_query(rf"""with {ITEMS} select ord from items where not (regexp_matches(link, '(?i)/(?:{filters.PATHS})/')
+or regexp_matches(title, '(?i)^(?:{filters.OPENINGS})\b|\b(?:podcast|newsletter|crossword|briefing)\b')
+or regexp_matches(title, '(?is)^(?:{filters.AUXILIARIES})\b.*\?\s*$') or regexp_matches(title, '(?i)^(?:your|the) (?:weekly|daily|morning|evening)\b')
+or len(regexp_split_to_array(title, '\s+')) < 4)""")
+def reporting_filter(spark, sf_dir):
+    return feed_items(spark, sf_dir).where(filters.is_reporting(F.col("title"), F.col("link"))).select("ord")
+
+
+@_query(rf"""select distinct w as word from (select unnest(list_filter(regexp_split_to_array(text, '[ \t\r\n]+')[2:120],
+lambda w: regexp_full_match(w, '[a-z]+'))) as w from documents)""")
+def lexicon_words(spark, sf_dir):
+    """Lower-case words of an edition, without the first of each text, of its first 120."""
+    words = F.filter(F.slice(F.split("text", r"[ \t\r\n]+"), 2, 119), lambda w: w.rlike(r"^[a-z]+\z"))
+    return _read(spark, sf_dir, "documents").select(F.explode(words).alias("word")).distinct()
+
+
 @_query()
 def leader_cluster(spark, sf_dir):
     """One pool for each outlet and day, as an edition has it."""

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_html
 
+#: The first sentence is anchored at the start: unanchored, a long text without an end would be tried from every place.
 FEED_ITEMS = r"""
 select d.doc_id as ord, d.source as outlet,
        case cast(substr(d.source, 4) as int) % 5 when 0 then 'left' when 1 then 'center' when 2 then 'right'
             when 3 then 'state' else 'independent' end as camp,
        d.text as summary_text,
-       coalesce(nullif(regexp_extract(d.text, '[^.!?]+[.!?]', 0), ''), substr(d.text, 1, 160)) as title,
+       coalesce(nullif(regexp_extract(d.text, '^[.!?]*([^.!?]+[.!?])', 1), ''), substr(d.text, 1, 160)) as title,
        'https://' || d.source || '.example/' || cast(d.doc_id as varchar(20)) as link,
        e.ts as ts, cast(floor(d.doc_id / 10.0) as bigint) as story_id
 from {documents} d join {events} e on e.event_id = d.doc_id"""

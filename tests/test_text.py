@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text
+from broadsheet.operators.filters import is_reporting
 from broadsheet.sources.feeds import parse_feed
 
 
@@ -57,3 +58,16 @@ def test_parse_feed(spark):
         ("Atom", "https://a.example/3", 1717408800000),
     ]
     assert rows[0].summary == "short"
+
+
+def test_reporting(spark):
+    cases = [
+        ("Senate passes a budget bill", "https://a.example/news/1", True),
+        ("Senate passes a budget bill", "https://a.example/sport/1", False),
+        ("Is this the end of it all?", "https://a.example/1", False),
+        ("Watch: the storm arrives now", "https://a.example/1", False),
+        ("Two words only", "https://a.example/1", False),
+        ("The daily list of things", "https://a.example/1", False),
+    ]
+    df = spark.createDataFrame([(t, u) for t, u, _ in cases], "title string, link string").coalesce(1)
+    assert [r.k for r in df.select(is_reporting(F.col("title"), F.col("link")).alias("k")).collect()] == [k for *_, k in cases]
