@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, bind, words
+from .shared import SPACE_CHARS, bind, cut, words
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -175,7 +175,11 @@ def judge(measured: DataFrame, counters: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without those that the rules reject; the columns of docs, nothing more."""
-    tagged = measure(docs.withColumn("_doc", F.struct("*")))
-    verdicts = judge(tagged, sketches(measure(docs.select("text", *KEY))))
-    return verdicts.where("kept").select("_doc.*")
+    """docs without those that the rules reject; the columns of docs, nothing more.
+
+    The measures are written with their documents before anything filters on them: a filter that Spark moves below the
+    measures would compute the words of a text again for every word.
+    """
+    tagged = measure(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "text", *KEY))
+    measured = cut(tagged.select("_doc", *KEY, "base_failed", *[f"m_{m}" for m in MEASURES]), "quality-measured")
+    return judge(measured, sketches(measured)).where("kept").select("_doc.*")
