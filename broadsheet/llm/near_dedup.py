@@ -15,7 +15,8 @@ taking the larger of each, and two sets agree in a register with a probability c
    Members meet in blocks of BLOCK, and a row is made only for a pair that is still plausible, in the first band that
    it shares. So no pair that shares a bucket is lost, while groups of copies cost about one comparison a member.
 
-A pair at exactly 0.85 misses all 26 bands of 5 registers with probability (1 - 0.85^5)^26 < 3e-7.
+A pair at exactly 0.85 misses all 26 bands of 5 registers with probability (1 - 0.85^5)^26 < 3e-7, one at
+exactly 0.80, the bound of the pipeline, with probability below 4e-5.
 
 Null or empty texts, or without words: size 0, linked with nothing. Rows that repeat a doc_id are one document and
 stay or go together; a null doc_id has no component and is kept. Empty table: no rows.

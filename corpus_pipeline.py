@@ -15,6 +15,9 @@ from broadsheet.llm import bpe, mixing, near_dedup, quality, secrets
 from broadsheet.llm.queries import vocabulary
 from broadsheet.llm.shared import shared_dir, small_batches
 
+#: Near copies of the pipeline; 85 percent on three words is the contract of the query op1_near_dedup alone.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -22,9 +25,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: similarity NEAR_PERCENT on shingles of NEAR_WORDS words."""
     small_batches(spark)
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, percent=NEAR_PERCENT, shingle=NEAR_WORDS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,42 @@
+"""The near-dedup stage of the pipeline against all pairs of documents, on five words and 80 percent."""
+
+import random
+
+import corpus_pipeline
+
+from .corpus import table
+
+
+def shingles(text, n=5):
+    w = (text or "").lower().split()
+    n = min(n, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+def firsts(given, percent=80):
+    """The first of each group of documents that near copies connect."""
+    sets, root = [shingles(t) for t in given], list(range(len(given)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i for i in range(len(given)) if find(i) == i}
+
+
+def test_stage_takes_five_words_and_eighty_percent(spark):
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(4000)}"
+    plain = [[word() for _ in range(120)] for _ in range(30)]
+    longer = [w + [word() for _ in range(24)] for w in plain[:10]]  # similarity 116 / 140 on five words: copies
+    block = [w[:50] + [word() for _ in range(8)] + w[58:] for w in plain[10:20]]  # 104 / 128: copies
+    edited = [[word() if i in (30, 60, 90) else x for i, x in enumerate(w)] for w in plain[20:]]  # 101 / 131: not copies
+    given = [" ".join(w) for w in (*plain, *longer, *block, *edited)] + [None, ""]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, given), "").collect()}
+    assert kept == firsts(given) == {*range(30), *range(50, 62)}
