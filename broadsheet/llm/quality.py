@@ -1,10 +1,12 @@
 """Quality rules with thresholds learned from the corpus (operator 5).
 
 Each document gets integer measures. A fixed rule fails texts that are too short or mostly repeat themselves. The
-other rules have no fixed cutoff: for each language and source, quantile sketches of the measures give a fence, and
-a document beyond a fence is rejected. A sketch is a histogram of a measure in thousandths, at most 1,001 counters a
+other rules have no fixed cutoff: for each language and source, quantile sketches of the measures give a fence, the
+value at a high rank plus a multiple of its distance from the value at a low rank, and a document beyond a fence is
+rejected. A fence is never above that of the language or of the corpus, so that a bad source cannot excuse itself. Only
+the least distance is fixed; it keeps groups of equal values from rejecting their neighbours. A sketch is a histogram of a measure in thousandths, at most 1,001 counters a
 group, so that two sketches merge by adding counters, in any order, with a rank error of nothing and a value error
-of 1/1000. Groups with too few documents borrow the sketch of their language, then that of the corpus.
+of 1/1000. Groups with too few documents have no fence of their own, and languages with too few none either.
 
 Null text: no words, base_failed. Null language or source: a group of its own. Repeated rows: each is judged.
 """
@@ -23,16 +25,16 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STRESS = "!?"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
-#: Measure -> the least spread and the least fence, in thousandths, so that a group of equal texts rejects no neighbour.
+#: Measure -> two ranks of its sketch and the least spread between them, all in thousandths, and the reach beyond.
+#: Ranks of 250 and 750 hold while under a quarter of a group is junk. Repeats are zero in most clean texts and spread
+#: widely in the others, so their ranks lie in the tail.
 MEASURES = {
-    "symbols": (4, 60),
-    "capitals": (20, 300),
-    "stress": (4, 60),
-    "same_lines": (20, 400),
-    "repeated": (20, 300),
+    "symbols": (250, 750, 4, 6),
+    "capitals": (250, 750, 4, 6),
+    "stress": (250, 750, 4, 6),
+    "same_lines": (500, 980, 20, 3),
+    "repeated": (500, 980, 20, 3),
 }
-#: Fence: third quartile + FENCE * the distance between the quartiles.
-FENCE = 6
 MIN_GROUP = 200
 KEY = ["lang", "source"]
 
@@ -124,21 +126,20 @@ def merge(counters: DataFrame, by: list[str]) -> DataFrame:
     return counters.groupBy(*by, "measure", "value").agg(F.sum("n").alias("n"))
 
 
-def _quartiles(counters: DataFrame, by: list[str], name: str) -> DataFrame:
+def _fences(counters: DataFrame, by: list[str], name: str) -> DataFrame:
     """For each group a struct `name` with its number of documents and a fence for each measure."""
     each = Window.partitionBy(*by, "measure")
     placed = counters.withColumns(
         {"_to": F.sum("n").over(each.orderBy("value")), "_all": F.sum("n").over(each)}
     )
-    rank = lambda q: F.min(F.when(F.col("_to") * 4 >= F.col("_all") * q, F.col("value")))
+    of = lambda i: reduce(
+        lambda a, m: F.when(F.col("measure") == m, F.lit(MEASURES[m][i])).otherwise(a), MEASURES, F.lit(None).cast("int")
+    )
+    rank = lambda q: F.min(F.when(F.col("_to") * 1000 >= F.col("_all") * q, F.col("value")))
     found = placed.groupBy(*by, "measure").agg(
-        rank(1).alias("q1"), rank(3).alias("q3"), F.max("_all").alias("docs")
+        rank(of(0)).alias("low"), rank(of(1)).alias("high"), F.max("_all").alias("docs")
     )
-    fence = F.lit(None)
-    for m, (spread, least) in MEASURES.items():
-        high = F.col("q3") + F.lit(FENCE) * F.greatest(F.col("q3") - F.col("q1"), F.lit(spread))
-        fence = F.when(F.col("measure") == m, F.greatest(high, F.lit(least))).otherwise(fence)
-    found = found.withColumn("fence", fence)
+    found = found.withColumn("fence", F.col("high") + of(3) * F.greatest(F.col("high") - F.col("low"), of(2)))
     return found.groupBy(*by).agg(
         F.struct(
             F.max("docs").alias("docs"),
@@ -149,16 +150,17 @@ def _quartiles(counters: DataFrame, by: list[str], name: str) -> DataFrame:
 
 def fences(counters: DataFrame) -> DataFrame:
     """The fence of each measure for each language and source that has documents."""
-    own = _quartiles(counters, KEY, "own")
-    lang = _quartiles(merge(counters, ["lang"]), ["lang"], "wide").withColumnRenamed("lang", "_lang")
-    everything = _quartiles(merge(counters.withColumn("_one", F.lit(1)), ["_one"]), ["_one"], "widest")
+    own = _fences(counters, KEY, "own")
+    lang = _fences(merge(counters, ["lang"]), ["lang"], "wide").withColumnRenamed("lang", "_lang")
+    everything = _fences(merge(counters.withColumn("_one", F.lit(1)), ["_one"]), ["_one"], "widest")
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(everything))  # one row
-    pick = (
-        F.when(F.col("own.docs") >= MIN_GROUP, F.col("own"))
-        .when(F.col("wide.docs") >= MIN_GROUP, F.col("wide"))
-        .otherwise(F.col("widest"))
+    # the least of those with enough documents; that of the corpus always counts
+    least = lambda m: F.least(
+        F.col(f"widest.{m}"),
+        *[F.when(F.col(f"{g}.docs") >= MIN_GROUP, F.col(f"{g}.{m}")) for g in ("own", "wide")],
     )
-    return joined.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), pick.alias("_fence"))
+    limit = F.struct(*[least(m).alias(m) for m in MEASURES])
+    return joined.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), limit.alias("_fence"))
 
 
 def judge(measured: DataFrame, counters: DataFrame) -> DataFrame:
