@@ -1,14 +1,17 @@
 """Personal data, by patterns and by what the corpus discloses (operator 7).
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers: the protected entities. Other words can
-give an entity away: where a word stands next to one entity in most texts that hold the word at all, reading the word
-tells the entity. The corpus measures that:
-
-1. For each entity, the words within CONTEXT words of it: how many different texts and how many different contexts
-   have the pair (word, entity). A pair needs MIN_CONTEXTS different contexts, so copies of one text are no evidence.
-2. For words of such pairs, how many different texts hold the word anywhere.
-3. disclosure = P(entity | word), and bits = log2 P(entity | word) / P(entity). A word of at least MIN_BITS bits is
-   generalised from GENERALISE on and removed from REMOVE on, wherever it stands.
+give an entity away: where most texts that hold a word hold one entity, reading the word tells the entity. The corpus
+measures that:
+
+1. Candidates: for each entity, the words within CONTEXT words of it, and in how many different contexts. Nearness only
+   chooses pairs (word, entity); a word that is never near an entity is no candidate for it.
+2. For candidates, how many different texts hold the word anywhere, and how many of those hold the entity anywhere.
+3. disclosure = P(entity | word), and bits = log2 P(entity | word) / P(entity), over different texts. A word of at least
+   MIN_BITS bits is generalised from GENERALISE on and removed from REMOVE on, wherever it stands.
+4. A pair counts if the lower bound of Wilson's interval for disclosure, one-sided with Z, is at least CONFIDENT. Its
+   successes are different contexts, so copies of one text are one success; its failures are texts with the word alone.
+   Two different contexts without a failure are enough (0.55), one is not (0.38).
 
 Words that step 2 need not look at are passed over by a bit map of BITS bits, of the same size for any corpus; a full
 map only lets more words through to the exact join. Counts and joins are keyed by a hash of the text, so that rows
@@ -36,7 +39,7 @@ MARKS = {k: f"[{k.upper()}]" for k in BASE_KINDS} | {"generalise": "[RELATED]",
 
 CONTEXT = 6
 CONTEXT_CHARS = 160
-MIN_CONTEXTS = 5
+CONFIDENT, Z = 0.5, 1.2816
 MIN_BITS = 3.0
 GENERALISE, REMOVE = 0.8, 0.95
 BITS = 1 << 22
@@ -109,7 +112,10 @@ def _key() -> Column:
 
 
 def evidence(docs: DataFrame) -> DataFrame:
-    """entity, term, bit, context, key: each word near an entity, once for each context and text."""
+    """entity, term, bit, context, key: each word near an entity, once for each context and text.
+
+    An entity without words near it has one row with a null term, since its text holds it all the same.
+    """
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -130,7 +136,7 @@ def evidence(docs: DataFrame) -> DataFrame:
                     words = [w.lower() for w in (*before, *after)]
                     context = _signed(hash_of(" ".join(words)))
                     entity = _signed(hash_of(_entity(text, span)))
-                    rows += [(entity, w, hash_of(w) % BITS, context, key) for w in set(words)]
+                    rows += [(entity, w, hash_of(w) % BITS, context, key) for w in set(words)] or [(entity, None, 0, context, key)]
             yield pd.DataFrame(rows, columns=["entity", "term", "bit", "context", "key"]).astype(
                 {"term": object, "entity": "int64", "bit": "int64", "context": "int64", "key": "int64"}
             )
@@ -183,25 +189,45 @@ def postings(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return docs.select(_key().alias("key"), "text").mapInPandas(held, "term string, key long").distinct()
 
 
+def _lower(successes: Column, failures: Column) -> Column:
+    """The lower bound of Wilson's interval for successes / (successes + failures)."""
+    n = (successes + failures).cast("double")
+    p, zz = successes / n, Z * Z
+    return (p + zz / (2 * n) - Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
 def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, disclosure, bits) of the words that give an entity away, and their postings (term, key)."""
     seen = cut(evidence(docs), "pii-evidence")
-    pairs = cut(
-        seen.groupBy("entity", "term", "bit")
-        .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("together"))
-        .where(F.col("contexts") >= MIN_CONTEXTS),
-        "pii-pairs",
+    near = seen.where("term is not null")
+    holding = cut(seen.select("entity", "key").distinct(), "pii-holding")
+    of_entity = holding.groupBy("entity").agg(F.count("*").alias("holders"))
+    pairs = (
+        near.groupBy("entity", "term", "bit")
+        .agg(F.count_distinct("context").alias("contexts"))
+        .where(_lower(F.col("contexts"), F.lit(0)) >= CONFIDENT)
+        .join(of_entity, "entity")
     )
     # a word stands in at least the texts that have it next to some entity: where those are too many, so are all
-    anywhere = seen.groupBy("term").agg(F.count_distinct("key").alias("_near"))
-    pairs = cut(pairs.join(anywhere, "term").where(F.col("together") >= GENERALISE * F.col("_near")).drop("_near"), "pii-open")
+    anywhere = near.groupBy("term").agg(F.count_distinct("key").alias("_near"))
+    pairs = cut(pairs.join(anywhere, "term").where(F.col("holders") >= GENERALISE * F.col("_near")).drop("_near"), "pii-open")
     candidates = pairs.select("term", "bit").distinct()
     held = cut(postings(docs, candidates), "pii-postings")
     of_term = held.groupBy("term").agg(F.count("*").alias("texts"))
-    of_entity = seen.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("holders"))
-    total = docs.agg(F.count("*").alias("total"))
+    # no more texts can hold both than hold the entity
+    pairs = cut(pairs.join(of_term, "term").where(F.col("holders") >= GENERALISE * F.col("texts")), "pii-pairs")
+    together = (
+        pairs.select("entity", "term")
+        .join(held, "term")
+        .join(holding, ["entity", "key"], "left_semi")
+        .groupBy("entity", "term")
+        .agg(F.count("*").alias("together"))
+    )
+    total = docs.select(_key().alias("key")).distinct().agg(F.count("*").alias("total"))
+    failures = F.col("texts") - F.col("together")
     measured = (
-        pairs.join(of_term, "term").join(of_entity, "entity").join(F.broadcast(total))  # one row
+        pairs.join(together, ["entity", "term"]).join(F.broadcast(total))  # one row
+        .where(_lower(F.least("contexts", "together"), failures) >= CONFIDENT)
         .withColumn("disclosure", F.col("together") / F.col("texts"))
         .withColumn("bits", F.log2(F.col("disclosure") * F.col("total") / F.col("holders")))
         .where((F.col("disclosure") >= GENERALISE) & (F.col("bits") >= MIN_BITS))
