@@ -3,12 +3,17 @@
 Each document gets integer measures. A fixed rule fails texts that are too short or mostly repeat themselves. The
 other rules have no fixed cutoff: for each language and source, quantile sketches of the measures give a fence, the
 value at a high rank plus a multiple of its distance from the value at a low rank, and a document beyond a fence is
-rejected. A fence is never above that of the language or of the corpus, so that a bad source cannot excuse itself. Only
-the least distance is fixed; it keeps groups of equal values from rejecting their neighbours. A sketch is a histogram of a measure in thousandths, at most 1,001 counters a
-group, so that two sketches merge by adding counters, in any order, with a rank error of nothing and a value error
-of 1/1000. Groups with too few documents have no fence of their own, and languages with too few none either.
+rejected. The fence of a source is drawn towards that of its language, and that towards the corpus, as if the wider
+group lent it PRIOR documents; so a small group goes by its language and a large one by itself, without a switch. A
+fence is never above that of the language or of the corpus, so that a bad source cannot excuse itself. Only the least
+distance is fixed; it keeps groups of equal values from rejecting their neighbours.
 
-Null text: no words, base_failed. Null language or source: a group of its own. Repeated rows: each is judged.
+A sketch is a histogram of a measure in thousandths, at most 1,001 counters a group: values are shares, so buckets of
+equal width bound the error by 1/1000, two sketches merge by adding counters, in any order, and ranks are exact.
+
+Null text: no words, base_failed. Null language or source: a group of its own. Ties at a rank: the value there counts
+as within. Repeated rows: each is judged. Texts of any length. Empty table: no rows. Columns of the input stay, whatever
+their names, but for those that this operator adds.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, bind, cut, words
+from .shared import SPACE_CHARS, aside, back, bind, cut, words
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -35,7 +40,8 @@ MEASURES = {
     "same_lines": (500, 980, 20, 3),
     "repeated": (500, 980, 20, 3),
 }
-MIN_GROUP = 200
+#: How many documents a wider group lends to the fence of a narrower one.
+PRIOR = 200
 KEY = ["lang", "source"]
 
 
@@ -74,11 +80,16 @@ def _repeated_words(w: Column) -> Column:
     return bind(windows, covered)
 
 
+#: What measure adds to its input.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*COUNTS, "base_failed", *[f"m_{m}" for m in MEASURES])
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """docs with the counts of the fixed rules and the measures m_* in thousandths."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: _without(x, SPACE_CHARS) > 0)
-    out = docs.withColumn("_w", words(F.col("text"))).withColumn("_lines", lines)
+    out = aside(docs, "text").withColumn("_w", words(F.col("text"))).withColumn("_lines", lines)
     chars = _without(text, SPACE_CHARS)
     out = out.withColumns(
         {
@@ -95,17 +106,18 @@ def measure(docs: DataFrame) -> DataFrame:
     share = lambda part, whole: F.coalesce(
         F.try_divide(F.lit(1000) * F.col(part), F.col(whole)), F.lit(0)
     ).cast("int")
-    return out.withColumns(
-        {
-            "base_failed": (F.col("n_words") < MIN_WORDS)
-            | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words")),
-            "m_symbols": share("n_symbols", "word_chars"),
-            "m_capitals": share("_capitals", "word_chars"),
-            "m_stress": share("_stress", "word_chars"),
-            "m_same_lines": share("n_dup_lines", "_n_lines"),
-            "m_repeated": share("n_repeat_words", "n_words"),
-        }
-    ).drop("_w", "_lines", "_n_lines", "_capitals", "_stress")
+    return back(
+        out,
+        docs,
+        **{c: F.col(c) for c in COUNTS},
+        base_failed=(F.col("n_words") < MIN_WORDS)
+        | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words")),
+        m_symbols=share("n_symbols", "word_chars"),
+        m_capitals=share("_capitals", "word_chars"),
+        m_stress=share("_stress", "word_chars"),
+        m_same_lines=share("n_dup_lines", "_n_lines"),
+        m_repeated=share("n_repeat_words", "n_words"),
+    )
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -154,26 +166,37 @@ def fences(counters: DataFrame) -> DataFrame:
     lang = _fences(merge(counters, ["lang"]), ["lang"], "wide").withColumnRenamed("lang", "_lang")
     everything = _fences(merge(counters.withColumn("_one", F.lit(1)), ["_one"]), ["_one"], "widest")
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(everything))  # one row
-    # the least of those with enough documents; that of the corpus always counts
-    least = lambda m: F.least(
-        F.col(f"widest.{m}"),
-        *[F.when(F.col(f"{g}.docs") >= MIN_GROUP, F.col(f"{g}.{m}")) for g in ("own", "wide")],
-    )
-    limit = F.struct(*[least(m).alias(m) for m in MEASURES])
-    return joined.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), limit.alias("_fence"))
+
+    def drawn(group: str, m: str, wider: Column) -> Column:
+        n = F.col(f"{group}.docs").cast("double")
+        return (n * F.col(f"{group}.{m}") + PRIOR * wider) / (n + PRIOR)
+
+    def limit(m: str) -> Column:
+        corpus = F.col(f"widest.{m}").cast("double")
+        language = drawn("wide", m, corpus)
+        return F.least(corpus, language, drawn("own", m, language))
+
+    limits = F.struct(*[limit(m).alias(m) for m in MEASURES])
+    return joined.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), limits.alias("_fence"))
+
+
+#: Bytes of fences up to which they go to every task; beyond, Spark shuffles both sides and splits skewed groups.
+BROADCAST_BYTES = 8 << 20
+_FENCE_BYTES = 200
 
 
 def judge(measured: DataFrame, counters: DataFrame) -> DataFrame:
     """measured with kept: false if the fixed rules failed or a measure is beyond the fence of its group."""
-    limit = fences(counters)
-    joined = measured.join(
-        limit, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left"
-    )
+    limit = cut(fences(counters), "quality-fences")
+    if limit.count() * _FENCE_BYTES <= BROADCAST_BYTES:
+        limit = F.broadcast(limit)
+    rows = aside(measured, *KEY, "base_failed", *[f"m_{m}" for m in MEASURES])
+    joined = rows.join(limit, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     within = reduce(
         lambda a, b: a & b,
-        [F.col(f"m_{m}") <= F.coalesce(F.col(f"_fence.{m}"), F.lit(1000)) for m in MEASURES],
+        [F.col(f"m_{m}") <= F.coalesce(F.col(f"_fence.{m}"), F.lit(1000.0)) for m in MEASURES],
     )
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("_l", "_s", "_fence")
+    return back(joined, measured, kept=~F.col("base_failed") & within)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -182,6 +205,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     The measures are written with their documents before anything filters on them: a filter that Spark moves below the
     measures would compute the words of a text again for every word.
     """
-    tagged = measure(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "text", *KEY))
-    measured = cut(tagged.select("_doc", *KEY, "base_failed", *[f"m_{m}" for m in MEASURES]), "quality-measured")
+    tagged = measure(aside(docs, "text", *KEY))
+    measured = cut(tagged.drop("text", *COUNTS), "quality-measured")
     return judge(measured, sketches(measured)).where("kept").select("_doc.*")

@@ -15,7 +15,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return near_dedup.label(documents(spark, sf_dir).select("doc_id", "text"))
+    return near_dedup.label(documents(spark, sf_dir).select("doc_id", "text"), percent=85, shingle=3)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     measured = cut(quality.measure(docs).drop("text"), "quality")
-    return quality.judge(measured, quality.sketches(measured)).drop("lang", "source")
+    judged = quality.judge(measured, quality.sketches(measured))
+    return judged.select("doc_id", *quality.ADDED, "kept")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_BYTES = tuple(SPACE_CHARS.encode())
 
-#: Rows of one Arrow batch; documents are a few KB each, so a batch stays in the low megabytes.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch; the bytes count for long texts.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -46,10 +46,27 @@ def empty(df: DataFrame) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one is used only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that spark.checkpoint.dir names. Where that is unset, as in tests, one for local masters only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+    return (named or "/tmp/checkpoints").rstrip("/")
+
+
+def aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """The rows of docs as one struct `_doc`, beside the columns that an operator reads; so no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *needed)
+
+
+def back(found: DataFrame, docs: DataFrame, /, **added: Column) -> DataFrame:
+    """The columns of docs again, and those that an operator adds, which take the place of columns of the same names."""
+    # in two steps, so that no name of docs is read as an alias by what is added
+    made = found.select("_doc", F.struct(*[c.alias(name) for name, c in added.items()]).alias("_new"))
+    own = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in added]
+    return made.select(*own, *[F.col(f"_new.{name}").alias(name) for name in added])
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts vary from one word to megabytes."""
+    """Keep Arrow batches small: texts vary from one word to megabytes, and a batch ends at the first row beyond either."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

@@ -25,13 +25,20 @@ def judged(rows):
                 groups[g].append(r)
     out = {}
     for r in rows:
-        used = [g for g in ((), (r.lang,), (r.lang, r.source)) if not g or len(groups[g]) >= 200]
-        out[r.doc_id] = not r.base_failed and all(
-            r[f"m_{m}"] <= min(fence([x[f"m_{m}"] for x in groups[g]], *RANKS[m]) for g in used) for m in RANKS
-        )
+        out[r.doc_id] = not r.base_failed and all(r[f"m_{m}"] <= limit(groups, r, m) for m in RANKS)
     return out
 
 
+def limit(groups, r, m, prior=200):
+    """The fences of the corpus, of the language drawn to it, of the source drawn to that; the least counts."""
+    at, fences = None, []
+    for g in ((), (r.lang,), (r.lang, r.source)):
+        n, own = len(groups[g]), fence([x[f"m_{m}"] for x in groups[g]], *RANKS[m])
+        at = own if at is None else (n * own + prior * at) / (n + prior)
+        fences.append(at)
+    return min(fences)
+
+
 def text(rng, repeats=0, lines=0, symbols=0, words=100):
     out = [f"w{rng.randrange(5000)}" for _ in range(words)]
     for _ in range(repeats):
