@@ -3,13 +3,15 @@
 Three patterns report on their own: assignments of passwords and keys, access identifiers, long hexadecimal runs.
 Other parts are weak alone: an opaque token, a login name, an endpoint. They are reported only where complementary
 parts stand in one scope: an opaque token with an access identifier, a login or an endpoint; a login or an endpoint
-with an opaque token or a strong secret. Scopes are overlapping stretches of SCOPE code points, one every SCOPE / 2;
-two parts share a scope if they share one of the two stretches that each start lies in. That is the bucketed form of
-an interval join, done on arrays of stretch numbers inside the row: parts of one document never leave its row, so no
-shuffle happens and neither a common key nor a long document can gather rows in one task.
-
-Null or empty text: no spans. Repeated rows: each gets its spans. Columns of the input stay, whatever their names,
-but for the names that this operator adds.
+with an opaque token or a strong secret. Two parts are in one scope if their starts are at most SCOPE code points
+apart, wherever in the text they stand. That is an interval join of two sorted lists: parts and partners are merged by
+start, running maxima and minima give each part the nearest partner before and behind it, and their distances decide.
+Parts of one document never leave its row, so no shuffle happens, and neither a common key nor a long document can
+gather rows in one task; the work is near linear in the parts of a text.
+
+Null or empty text: no spans. Ties: parts that start together are in one scope. Repeated rows: each gets its spans.
+Texts of any length. Empty table: no rows. Columns of the input stay, whatever their names, but for the one that this
+operator adds.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bind
+from .shared import aside, back, bind
 
 #: The base patterns; letters of the key words in either case.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,34 +35,37 @@ ENDPOINT = r"""(?i:\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://)
 SCOPE = 512
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "opaque", "login", "endpoint")
-_BLOCK = 64
+#: Elements of a block of a running fold, and how often blocks are folded in blocks: enough for BLOCK^4 matches.
+_BLOCK, _DEPTH = 64, 3
 
 
-def _sums_before(lengths: Column) -> Column:
-    """For each element the sum of those before it, in blocks so that the work stays near linear."""
-    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+def _before(values: Column, fold, start: Column, depth: int = _DEPTH) -> Column:
+    """For each element the fold of those before it, in blocks of blocks so that the work stays near linear."""
+    whole = lambda xs: F.aggregate(xs, start, fold)
+    if depth == 0:
+        return F.transform(values, lambda _, i: whole(F.slice(values, 1, i)))
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")),
-        lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK),
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")),
+        lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK),
     )
 
     def placed(parts: Column) -> Column:
-        def within(totals: Column) -> Column:
-            return F.flatten(
-                F.transform(
-                    parts,
-                    lambda part, b: bind(
-                        add(F.slice(totals, 1, b)),
-                        lambda base: F.transform(part, lambda _, i: base + add(F.slice(part, 1, i))),
-                    ),
-                )
+        within = lambda bases: F.flatten(
+            F.transform(
+                parts, lambda part, b: bind(F.get(bases, b), lambda base: F.transform(part, lambda _, i: fold(base, whole(F.slice(part, 1, i)))))
             )
-
-        return bind(F.transform(parts, add), within)
+        )
+        totals = F.transform(parts, whole)
+        bases = F.when(F.size(parts) == 1, F.array(start)).otherwise(bind(totals, lambda t: _before(t, fold, start, depth - 1)))
+        return bind(bases, within)
 
     return bind(blocks, placed)
 
 
+def _sums_before(lengths: Column) -> Column:
+    return _before(lengths, lambda a, x: a + x, F.lit(0).cast("long"))
+
+
 def _spans(text: Column, pattern: str, keep=None) -> Column:
     """Array of (s, e), code points, end exclusive, of the leftmost matches that do not overlap.
 
@@ -95,46 +100,37 @@ def _spans(text: Column, pattern: str, keep=None) -> Column:
     return bind(found, located)
 
 
-def _stretches(spans: Column) -> Column:
-    half = SCOPE // 2
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                spans,
-                lambda x: bind(F.floor(x["s"] / half), lambda k: F.array(k - 1, k)),
-            )
-        )
-    )
+_FAR = 1 << 60
 
 
 def _linked(spans: Column, partners: Column) -> Column:
-    """The spans with a partner in one of their stretches."""
-    half = SCOPE // 2
-    shared = F.array_intersect(_stretches(spans), partners)
-    return F.when(F.size(spans) == 0, spans).otherwise(
-        bind(
-            shared,
-            lambda good: F.when(
-                F.size(good) > 0,
-                F.filter(
-                    spans,
-                    lambda x: F.array_contains(good, F.floor(x["s"] / half))
-                    | F.array_contains(good, F.floor(x["s"] / half) - 1),
-                ),
-            ).otherwise(F.slice(spans, 1, 0)),
-        )
-    )
+    """The spans whose start is at most SCOPE away from the start of a partner."""
+    own = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(1).alias("own"), x["e"].alias("e")))
+    other = F.transform(partners, lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("own"), x["e"].alias("e")))
+
+    def near(merged: Column) -> Column:
+        """Distances to the nearest partner before each of the merged parts and behind it; partners first of ties."""
+        starts = lambda none: F.transform(merged, lambda x: F.when(x["own"] == 0, x["s"]).otherwise(F.lit(none)))
+        last = _before(starts(-_FAR), lambda a, x: F.greatest(a, x), F.lit(-_FAR).cast("long"))
+        following = F.reverse(_before(F.reverse(starts(_FAR)), lambda a, x: F.least(a, x), F.lit(_FAR).cast("long")))
+        gap = F.zip_with(last, following, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+        close = F.zip_with(merged, gap, lambda x, g: F.when((x["own"] == 1) & (F.least(x["s"] - g["b"], g["a"] - x["s"]) <= SCOPE), x))
+        return F.transform(F.filter(close, lambda x: x.isNotNull()), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+
+    none = F.slice(spans, 1, 0)
+    return F.when((F.size(spans) == 0) | (F.size(partners) == 0), none).otherwise(bind(F.sort_array(F.concat(own, other)), near))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs with `secrets`: array of (s, k, e, kind), by start and then by kind in the order of KINDS."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = aside(docs, "text").withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
+    text = F.col("_t")
     value = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_VALUE)
     mixed = F.transform(
         F.regexp_extract_all(text, F.lit(OPAQUE), F.lit(0)),
         lambda v: v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]"),
     )
-    found = docs.withColumns(
+    found = rows.withColumns(
         {
             "_assign": _spans(text, ASSIGN, value),
             "_access": _spans(text, ACCESS),
@@ -144,14 +140,15 @@ def scan(docs: DataFrame) -> DataFrame:
             "_endpoint": _spans(text, ENDPOINT),
         }
     )
-    strong = _stretches(F.concat("_assign", "_hex", "_opaque"))
+    strong = F.concat("_assign", "_hex", "_opaque")
     linked = found.withColumns(
         {
-            "_opaque": _linked(F.col("_opaque"), _stretches(F.concat("_access", "_login", "_endpoint"))),
+            "_opaque": _linked(F.col("_opaque"), F.concat("_access", "_login", "_endpoint")),
             "_login": _linked(F.col("_login"), strong),
             "_endpoint": _linked(F.col("_endpoint"), strong),
         }
     )
+
     def named(k: int, kind: str) -> Column:
         return F.transform(
             F.col(f"_{kind}"),
@@ -159,7 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
         )
 
     every = F.concat(*[named(k, kind) for k, kind in enumerate(KINDS)])
-    return linked.withColumn("secrets", F.sort_array(every)).drop(*[f"_{k}" for k in KINDS])
+    return back(linked, docs, secrets=F.sort_array(every))
 
 
 def listed(spans: Column) -> Column:
@@ -194,7 +191,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         step,
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    found = scan(docs.withColumn("_doc", whole).select("_doc", "text")).withColumnRenamed("secrets", "_spans")
-    cleaned = found.withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(text))
-    return cleaned.select(*[F.col("_clean" if c == "text" else f"_doc.`{c}`").alias(c) for c in docs.columns])
+    found = scan(aside(docs, "text")).withColumnRenamed("secrets", "_spans")
+    cleaned = F.when(F.size("_spans") > 0, clean).otherwise(text)
+    return back(found, docs, text=cleaned).select(*[F.col(f"`{c}`") for c in docs.columns])
