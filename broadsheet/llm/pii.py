@@ -4,7 +4,7 @@ Patterns find e-mail addresses, IP addresses, payment cards and phone numbers: t
 give an entity away: where most texts that hold a word hold one entity, reading the word tells the entity. The corpus
 measures that:
 
-1. Candidates: for each entity, the words within CONTEXT words of it, and in how many different contexts. Nearness only
+1. Candidates: for each entity, the CONTEXT words before it and behind it, however far, and in how many different contexts. Nearness only
    chooses pairs (word, entity); a word that is never near an entity is no candidate for it.
 2. For candidates, how many different texts hold the word anywhere, and how many of those hold the entity anywhere.
 3. disclosure = P(entity | word), and bits = log2 P(entity | word) / P(entity), over different texts. A word of at least
@@ -17,12 +17,15 @@ Words that step 2 need not look at are passed over by a bit map of BITS bits, of
 map only lets more words through to the exact join. Counts and joins are keyed by a hash of the text, so that rows
 that repeat, or that have no doc_id, need no special care: equal texts have equal spans.
 
-Null or empty text: no spans. Empty table: no rows.
+Null or empty text: no spans. Ties: of words that disclose several entities the highest disclosure counts. Texts of any
+length: what moves is words and hashes, never texts but to their own spans. Empty table: no rows. Columns of the input
+stay, whatever their names, but for the one that this operator adds.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes
-from .shared import cut
+from .shared import aside, back, cut
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "generalise", "remove")
 MARKS = {k: f"[{k.upper()}]" for k in BASE_KINDS} | {"generalise": "[RELATED]", "remove": ""}
 
 CONTEXT = 6
-CONTEXT_CHARS = 160
 CONFIDENT, Z = 0.5, 1.2816
 MIN_BITS = 3.0
 GENERALISE, REMOVE = 0.8, 0.95
@@ -46,7 +48,8 @@ BITS = 1 << 22
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A run of digits that fails from its first digit fails from all others, so none of those is tried.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
@@ -128,12 +131,11 @@ def evidence(docs: DataFrame) -> DataFrame:
                 plain = list(text)
                 for s, _, e in spans:  # an entity is no evidence about another
                     plain[s:e] = " " * (e - s)
-                plain = "".join(plain)
+                found = [(m.start(), m[0].lower()) for m in _TERM.finditer("".join(plain))]
+                starts = [at for at, _ in found]
                 for span in spans:
-                    s, _, e = span
-                    before = _TERM.findall(plain[max(0, s - CONTEXT_CHARS) : s])[-CONTEXT:]
-                    after = _TERM.findall(plain[e : e + CONTEXT_CHARS])[:CONTEXT]
-                    words = [w.lower() for w in (*before, *after)]
+                    at = bisect_left(starts, span[0])  # no word begins inside an entity
+                    words = [w for _, w in found[max(0, at - CONTEXT) : at + CONTEXT]]
                     context = _signed(hash_of(" ".join(words)))
                     entity = _signed(hash_of(_entity(text, span)))
                     rows += [(entity, w, hash_of(w) % BITS, context, key) for w in set(words)] or [(entity, None, 0, context, key)]
@@ -260,9 +262,9 @@ def find(docs: DataFrame) -> DataFrame:
                 out.append([{"s": s, "k": k, "e": e, "kind": KINDS[k]} for s, k, e in spans])
             yield pd.Series(out, dtype=object)
 
-    own = [F.col(c) for c in docs.columns if c != "found"]
-    joined = docs.select(*own, _key().alias("_key")).join(by_text.select(F.col("key").alias("_key"), F.col("terms").alias("_terms")), "_key", "left")
-    return joined.select(*own, spans_of("text", "_terms").alias("found"))
+    rows = aside(docs, "text", _key().alias("_key"))
+    joined = rows.join(by_text.select(F.col("key").alias("_key"), F.col("terms").alias("_terms")), "_key", "left")
+    return back(joined, docs, found=spans_of("text", "_terms"))
 
 
 def listed(spans: Column) -> Column:
@@ -297,6 +299,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    found = find(docs.withColumnRenamed("found", "_found_before") if "found" in docs.columns else docs)
-    names = {c: F.col("_found_before" if c == "found" else c) for c in docs.columns}
-    return found.select(*[(clean("text", "found") if c == "text" else names[c]).alias(c) for c in docs.columns])
+    found = find(aside(docs, "text"))
+    return back(found, docs, text=clean("text", "found")).select(*[F.col(f"`{c}`") for c in docs.columns])
