@@ -6,16 +6,17 @@ the leftmost pair of least rank, looked up by hash, merges it and closes the gap
 Pieces are kept in a bounded cache of each Python worker. Texts are only cut by the pattern, never by length, and a
 row of the table is encoded where it lies: no shuffle.
 
-Pieces longer than LONG bytes (rare: long runs without a space) would make every round cost their whole length; they
-merge with a heap in n log n to the same ids.
+A piece longer than LONG bytes (rare: long runs without a space) is a row of a matrix of its own, since its rounds are
+many. Its round merges every place of its least pair that the leftmost-first order would merge next, one after the
+other; where such a merge would bring up a pair of still lower rank, only the leftmost place is merged.
 
-Null or empty text: no ids, empty decoded bytes.
+Null or empty text: no ids, empty decoded bytes. Ties: of equal ranks the leftmost pair. Repeated rows: each is encoded.
+Empty table: no rows. Columns of the input stay, whatever their names, but for those that this operator adds.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import aside, back
+
 LONG = 512
 CACHED_PIECES = 200_000
 NONE = np.int64(2**62)
@@ -163,32 +166,35 @@ class Codec:
         return done
 
     def _merge_long(self, raw: bytes) -> bytes:
-        ids = [int(self.of_byte[b]) for b in raw]
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        tokens = [raw[i : i + 1] for i in range(n)]
-        heap = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and (rank := self.ranks.get(tokens[i] + tokens[j])) is not None:
-                heapq.heappush(heap, (rank, i, len(tokens[i]), len(tokens[j])))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or len(tokens[i]) != a or len(tokens[j]) != b:
-                continue
-            tokens[i] += tokens[j]
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([ids[i] for i in range(n) if alive[i]], "<u4").tobytes()
+        ids = self.of_byte[np.frombuffer(raw, np.uint8)]
+        rank = self.pairs.find(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != NONE:
+            hit = np.nonzero(rank == least)[0]
+            # of neighbouring places that share a token the first, third, ... merge
+            first = np.ones(len(hit), bool)
+            first[1:] = np.diff(hit) > 1
+            run = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            done = self._merged(ids, rank, hit, least)
+            if done is None:
+                done = self._merged(ids, rank, hit[:1], least, whatever=True)
+            ids, rank = done
+        return ids.astype("<u4").tobytes()
+
+    def _merged(self, ids: np.ndarray, rank: np.ndarray, hit: np.ndarray, least: np.int64, whatever: bool = False):
+        """ids and ranks after the pairs at `hit` merged to `least`; None if that brings up a lower rank."""
+        ids = ids.copy()
+        ids[hit] = least
+        ids = np.delete(ids, hit + 1)
+        rank = np.delete(rank, hit)
+        place = hit - np.arange(len(hit))
+        for side in (place - 1, place):
+            at = side[(side >= 0) & (side < len(rank))]
+            new = self.pairs.find(ids[at], ids[at + 1])
+            if not whatever and (new < least).any():
+                return None
+            rank[at] = new
+        return ids, rank
 
 
 @lru_cache(maxsize=2)
@@ -212,9 +218,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 {"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [codec.decode(x) for x in ids]}
             )
 
-    return docs.withColumn("_coded", coded(F.col(text))).select(
-        *[F.col(c) for c in docs.columns if c not in ("n_tokens", "ids", "decoded")], "_coded.*"
-    )
+    found = aside(docs, F.col(f"`{text}`").alias("_text")).select("_doc", coded("_text").alias("_coded"))
+    return back(found, docs, **{c: F.col(f"_coded.{c}") for c in ("n_tokens", "ids", "decoded")})
 
 
 def id_array(packed):
