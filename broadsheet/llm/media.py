@@ -10,7 +10,8 @@ Validators read headers, walk chunks or tables and check the lengths and checksu
 that no validator confirms count for nothing. Embedded media inside a confirmed one are not reported again.
 
 Null or empty text: one unit of bytes 255. Null media: no type, nothing carved. Equal texts give equal values in all
-columns. Everything happens where the row lies; no shuffle.
+columns. Bytes of any length, each row on its own. Empty table: no rows. Columns of the input stay, whatever their names,
+but for those that an operator adds. Everything happens where the row lies; no shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import aside, back
+
 UNIT = 576
 PAD = b"\xff"
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -121,7 +124,8 @@ def _bmp(b: bytes, at: int) -> int | None:
 def _pdf(b: bytes, at: int) -> int | None:
     if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return None
-    end = b.find(b"%%EOF", at)
+    other = b.find(b"%PDF-", at + 5)  # updates are appended, so the last mark before another document counts
+    end = b.rfind(b"%%EOF", at, other if other >= 0 else len(b))
     return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
 
 
@@ -130,7 +134,7 @@ def _zip(b: bytes, at: int) -> int | None:
     while p + 30 <= len(b) and b[p : p + 4] == b"PK\x03\x04":
         flags, name, extra = (struct.unpack_from("<H", b, p + k)[0] for k in (6, 26, 28))
         if flags & 8:  # the length stands behind the data: only the directory tells
-            return None
+            return _zip_by_directory(b, at)
         p, files = p + 30 + struct.unpack_from("<I", b, p + 18)[0] + name + extra, files + 1
     while p + 46 <= len(b) and b[p : p + 4] == b"PK\x01\x02":
         p += 46 + sum(struct.unpack_from("<3H", b, p + 28))
@@ -140,6 +144,18 @@ def _zip(b: bytes, at: int) -> int | None:
     return None
 
 
+def _zip_by_directory(b: bytes, at: int) -> int | None:
+    """The end of an archive whose directory says that it began here."""
+    p = b.find(b"PK\x05\x06", at)
+    while 0 <= p <= len(b) - 22:
+        size, offset, comment = struct.unpack_from("<IIH", b, p + 12)
+        begins = p - size
+        if begins - offset == at and b[begins : begins + 4] == b"PK\x01\x02" and p + 22 + comment <= len(b):
+            return p + 22 + comment
+        p = b.find(b"PK\x05\x06", p + 4)
+    return None
+
+
 def _gzip(b: bytes, at: int) -> int | None:
     d = zlib.decompressobj(31)
     try:
@@ -191,6 +207,7 @@ FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
     (b"PK\x03\x04", "application/zip", _zip),
     (b"\x1f\x8b\x08", "application/gzip", _gzip),
 )
+ENDLESS = ("audio/flac",)
 RIFF_TYPES = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 
 
@@ -206,7 +223,10 @@ def _automaton():
 
 
 def media_in(b: bytes) -> list[tuple[str, int, int]]:
-    """(type, start, end) of the confirmed media in b, by start, none inside another."""
+    """(type, start, end) of the confirmed media in b, by start, none inside another.
+
+    Media of an ENDLESS type do not tell their length: they reach to the next confirmed one or to the end.
+    """
     out, reached = [], 0
     for last, (n, kind, check) in _automaton().iter(b.decode("latin-1")):
         at = last + 1 - n
@@ -215,8 +235,9 @@ def media_in(b: bytes) -> list[tuple[str, int, int]]:
         end = check(b, at)
         if end is not None:
             out.append((RIFF_TYPES[b[at + 8 : at + 12]] if kind == "riff" else kind, at, end))
-            reached = end
-    return out
+            reached = at + n if kind in ENDLESS else end
+    following = [at for _, at, _ in out[1:]] + [len(b)]
+    return [(kind, at, min(end, after) if kind in ENDLESS else end) for (kind, at, end), after in zip(out, following, strict=False)]
 
 
 # ---- samples
@@ -263,8 +284,9 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pd.Series([as_png(padded(t or b"")) for t in batch], dtype=object)
 
-    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return docs.withColumns({"n_bytes": F.octet_length(raw).cast("long"), "media": stored(raw)})
+    raw = F.coalesce(F.col("_text").cast("binary"), F.lit(b""))
+    rows = aside(docs, F.col(f"`{text}`").alias("_text"))
+    return back(rows, docs, n_bytes=F.octet_length(raw).cast("long"), media=stored(raw))
 
 
 def payload(media: str | Column = "media") -> Column:
@@ -303,10 +325,8 @@ def sniff(media: str | Column = "media", declared: str | Column | None = None) -
 
 def carve(df: DataFrame, media: str = "media") -> DataFrame:
     """One row for each embedded piece of media: the columns of df, then carved_type and carved, its bytes."""
-    found = df.withColumn("_sniffed", sniff(media)).withColumn("_piece", F.explode("_sniffed.embedded"))
+    rows = aside(df, F.col(f"`{media}`").alias("_media")).withColumn("_sniffed", sniff("_media"))
+    found = rows.withColumn("_piece", F.explode("_sniffed.embedded"))
     length = (F.col("_piece.end") - F.col("_piece.start")).cast("int")
-    return found.select(
-        *df.columns,
-        F.col("_piece.type").alias("carved_type"),
-        F.substring(F.col(media), (F.col("_piece.start") + 1).cast("int"), length).alias("carved"),
-    )
+    piece = F.substring(F.col("_media"), (F.col("_piece.start") + 1).cast("int"), length)
+    return back(found, df, carved_type=F.col("_piece.type"), carved=piece)

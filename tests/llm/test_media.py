@@ -72,3 +72,37 @@ def test_carve_and_nulls(spark):
 
 def test_tail_checksum_is_unsigned():
     assert zlib.crc32(media.padded(b"")[-32:]) >= 0
+
+
+class Pipe(io.RawIOBase):
+    """A sink without places, so that archives state lengths behind the data."""
+
+    def __init__(self):
+        self.parts = []
+
+    def writable(self):
+        return True
+
+    def write(self, b):
+        self.parts.append(bytes(b))
+        return len(b)
+
+
+def test_archives_written_as_streams_and_updated_documents():
+    pipe = Pipe()
+    with zipfile.ZipFile(pipe, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", b"hello" * 50)
+        z.writestr("b.txt", b"more")
+    streamed = b"".join(pipe.parts)
+    assert streamed[6] & 8
+    updated = PDF + b"\n2 0 obj\nstartxref\n40\n%%EOF"
+    flac = b"fLaC" + bytes([0x80, 0, 0, 34]) + bytes(34) + b"\xff\xf8" + b"frames"
+    blob = b"ab" + streamed + b"cd" + updated + b"ef" + flac + wav(b"12") + b"tail"
+    a, b, c = 2, 4 + len(streamed), 6 + len(streamed) + len(updated)
+    w = c + len(flac)
+    assert media.media_in(blob) == [
+        ("application/zip", a, a + len(streamed)),
+        ("application/pdf", b, b + len(updated)),
+        ("audio/flac", c, w),
+        ("audio/wav", w, w + len(wav(b"12"))),
+    ]
