@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .hashing import Powers, mixed
 from .shared import cut, empty
 
-CHUNK = 1 << 20
+#: Symbols hashed at once; starts of one text that meet in one row; segments of a text that are spelled out at once.
+CHUNK, PIECE, AT_ONCE = 1 << 20, 1 << 20, 4096
 _FIRST, _SECOND, _THIRD = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 _INDEX = np.uint64(0xFFFFFFFF)
 
@@ -124,20 +125,22 @@ def _windows(docs: DataFrame, probes: DataFrame, symbols: Symbols, length: int)
         for x in batches:
             for at, text, probe in zip(x["at"], x["text"], x["probes"], strict=True):
                 s = symbols(text)
-                rows = np.array([[r["low"], r["high"], r["weight"]] for r in probe], np.int64)
-                n = rows[:, 1] - rows[:, 0] + 1
-                each = np.repeat(np.arange(len(rows)), n)
-                start = np.arange(len(each)) - (np.cumsum(n) - n)[each] + rows[each, 0]
-                end = start + length
-                yield pd.DataFrame(
-                    {
-                        "at": at,
-                        "start": start.astype(np.int32),
-                        "w1": mixed(_SECOND.some(_SECOND.sums(s), start, end)).astype(np.int64),
-                        "w2": mixed(_THIRD.some(_THIRD.sums(s), start, end)).astype(np.int64),
-                        "weight": rows[each, 2].astype(np.int32),
-                    }
-                )
+                two, three = _SECOND.sums(s), _THIRD.sums(s)
+                for k in range(0, len(probe), AT_ONCE):
+                    rows = np.array([[r["low"], r["high"], r["weight"]] for r in probe[k : k + AT_ONCE]], np.int64)
+                    n = rows[:, 1] - rows[:, 0] + 1
+                    each = np.repeat(np.arange(len(rows)), n)
+                    start = np.arange(len(each)) - (np.cumsum(n) - n)[each] + rows[each, 0]
+                    end = start + length
+                    yield pd.DataFrame(
+                        {
+                            "at": at,
+                            "start": start.astype(np.int32),
+                            "w1": mixed(_SECOND.some(two, start, end)).astype(np.int64),
+                            "w2": mixed(_THIRD.some(three, start, end)).astype(np.int64),
+                            "weight": rows[each, 2].astype(np.int32),
+                        }
+                    )
 
     by_doc = probes.groupBy("at").agg(F.collect_list(F.struct("low", "high", "weight")).alias("probes"))
     texts = docs.select("at", F.col("text").cast("binary").alias("text"))
@@ -165,9 +168,11 @@ def spans(
         raise ValueError("an anchor lies in its window and is at most 255 symbols shorter")
     keys = ["anchor", "segment", *["left", "right"] * extend]
     every = cut(_segments(docs, symbols, length, anchor, extend), "repeat-anchors")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # a table of its own: so both sides of the join are plain shuffles, and Spark splits hot anchors
+    again = cut(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-again")
     alive = cut(every.join(again, "anchor"), "repeat-alive")
     empty(every)
+    empty(again)
 
     # one row for each different segment, with the first place where it stands
     kinds = cut(
@@ -207,9 +212,13 @@ def spans(
         firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("at", "start")).alias("first"))
         firsts = cut(firsts.select("first.at", F.col("first.start").alias("start")), "repeat-firsts")
         none = F.array().cast("array<int>")
-        first_of = firsts.groupBy("at").agg(F.sort_array(F.collect_list("start")).alias("firsts"))
-        probed = probes.groupBy("at").agg(F.flatten(F.collect_list(F.sequence("low", "high"))).alias("starts"))
-        hit = probed.join(first_of, "at", "left").select(
+        piece = lambda c: F.floor(F.col(c) / PIECE).cast("int")
+        first_of = firsts.groupBy("at", piece("start").alias("piece")).agg(F.sort_array(F.collect_list("start")).alias("firsts"))
+        # a segment that reaches into the next piece of its text is there too
+        halves = F.explode(F.array_distinct(F.array(piece("low"), piece("high")))).alias("piece")
+        within = F.sequence(F.greatest("low", F.col("piece") * PIECE), F.least("high", F.col("piece") * PIECE + PIECE - 1))
+        probed = probes.select("at", "low", "high", halves).groupBy("at", "piece").agg(F.flatten(F.collect_list(within)).alias("starts"))
+        hit = probed.join(first_of, ["at", "piece"], "left").select(
             "at", F.explode(F.array_except("starts", F.coalesce("firsts", none))).alias("start")
         )
     else:
