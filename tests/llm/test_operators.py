@@ -54,15 +54,15 @@ def near_texts(seed):
 
 def test_near_dedup_against_all_pairs(spark):
     given = near_texts(11)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.label(table(spark, given)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.label(table(spark, given), percent=85, shingle=3).collect()}
     assert got == grouped(given)
-    kept = near_dedup.keep_one(table(spark, given))
+    kept = near_dedup.keep_one(table(spark, given), percent=85, shingle=3)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
     assert {r.doc_id for r in kept.collect()} == {i for i, x in got.items() if x[2]}
 
 
 def test_sketches_merge():
-    a, b = near_dedup.shingle_set("a b c d e f g"), near_dedup.shingle_set("x y z f g h")
+    a, b = near_dedup.shingle_set("a b c d e f g", 3), near_dedup.shingle_set("x y z f g h", 3)
     both = np.maximum(near_dedup.registers(a), near_dedup.registers(b))
     assert (both == near_dedup.registers(np.union1d(a, b))).all()
 
