@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicons import COUNTED, NOT_NAMES, STOP_WORDS
+from .lexicons import COUNTED, NOT_NAMES, STOP_WORDS, TERM_STOP_WORDS, TITLES
 
 AHEAD, BEHIND = "(?![A-Za-z0-9_])", "(?<![A-Za-z0-9_])"
-_HIDDEN = "\u0001"
+#: Where a word of ASCII letters, digits and underscores begins or ends.
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: White space as the data model has it, which is more than the `\\s` of Java.
+SPACE = r"\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def whole(words: str) -> str:
     """A case-insensitive pattern for one of the alternatives as whole words."""
-    return f"(?i){BEHIND}(?:{words}){AHEAD}"
+    return f"(?i){BEHIND}(?:{words}){EDGE}"
+
+
+def bind(value: Column, use) -> Column:
+    """use(value) with value computed once for a row, also where `use` names it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def replace_each(text: Column, pattern: str, use: Callable[[Column], Column]) -> Column:
+    """text with every match of the pattern replaced by use(match)."""
+
+    def put(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        # the gap behind the last match has none to go with
+        parts = F.zip_with(F.split(t, pattern, -1), found, lambda gap, m: F.concat(gap, F.when(m.isNotNull(), use(m)).otherwise("")))
+        return F.when(t.rlike(pattern), F.array_join(parts, "")).otherwise(t)
+
+    return bind(text, put)
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+
+
+def first_upper(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
 
 
 def plain_words(text: Column) -> Column:
@@ -27,22 +55,60 @@ def tokens(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
     return F.filter(plain_words(text), lambda w: (F.length(w) > 3) & ~w.isin(*stop))
 
 
-def terms(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
-    """Like tokens, but numbers and money keep their signs."""
+def terms(text: Column, stop: Sequence[str] = TERM_STOP_WORDS) -> Column:
+    """Like tokens, but numbers and money keep their signs, and more words are passed over."""
     parts = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9$%.-]+", " "), " ")
-    trimmed = F.transform(parts, lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+\z", ""))
-    return F.filter(trimmed, lambda w: (F.length(w) > 3) & ~w.isin(*stop))
+    bare = F.transform(parts, lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+\z", ""))
+    return F.filter(bare, lambda w: (F.length(w) > 3) & ~w.isin(*stop))
+
+
+
+
+def _inner_dots() -> str:
+    """Dots that end nothing: in decimals, in and after pairs of initials, after titles.
+
+    Pairs are told off from the left, so in a chain of single digits or initials every other dot opens a pair; chains of
+    up to eight are looked back through.
+    """
+    pairs = lambda unit: [rf"(?:\.{unit}\.{unit})" * k for k in range(4)]
+    initial = rf"{BEHIND}(?<!{BEHIND}[A-Z]\.)[A-Z]"
+    return "|".join(
+        [rf"(?<=(?<![0-9]\.)[0-9]{p})\.(?=[0-9])" for p in pairs("[0-9]")]
+        + [rf"(?<={initial}{p})\.(?=[A-Z]\.)" for p in pairs("[A-Z]")]
+        + [rf"(?<={initial}\.[A-Z]{p})\." for p in pairs("[A-Z]")]
+        + [rf"(?<={BEHIND}(?i:{t}))\." for t in TITLES.split("|")]
+    )
+
+
+SENTENCE = rf"[^.!?]++(?:(?:{_inner_dots()})[^.!?]*+)*+(?:[.!?]+[\"’')\]]*|\z)"
 
 
 def sentences(text: Column, least: int = 6) -> Column:
     """Sentences of `least` words or more; decimals, initials and titles do not end one."""
-    masked = F.regexp_replace(text, r"(\d)\.(\d)", f"$1{_HIDDEN}$2")
-    masked = F.regexp_replace(masked, BEHIND + r"([A-Z])\.([A-Z])\.", f"$1{_HIDDEN}$2{_HIDDEN}")
-    titles = "Mr|Mrs|Ms|Dr|Prof|Sen|Rep|Gov|Gen|Lt|Sgt|St|Jr|Sr|vs|etc|Inc|Corp|No"
-    masked = F.regexp_replace(masked, rf"(?i){BEHIND}({titles})\.", f"$1{_HIDDEN}")
-    found = F.regexp_extract_all(masked, F.lit(r"[^.!?]+(?:[.!?]+[\"’')\]]*|\z)"), F.lit(0))
-    clean = F.transform(found, lambda s: F.regexp_replace(F.replace(s, F.lit(_HIDDEN), F.lit(".")), r"^\s+|\s+\z", ""))
-    return F.filter(clean, lambda s: F.size(F.split(s, r"\s+")) >= least)
+    found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    return F.filter(F.transform(found, trimmed), lambda s: F.size(F.split(s, rf"[{SPACE}]+")) >= least)
+
+
+def first_sentence(text: Column) -> Column:
+    """Up to the first end of a sentence, or the first 160 characters where there is none."""
+    sentence = F.regexp_extract(text, "^[.!?]*([^.!?]+[.!?])", 1)
+    return F.coalesce(F.nullif(sentence, F.lit("")), F.substring(text, 1, 160), F.lit(""))
+
+
+def opening(text: Column, n: int = 2) -> Column:
+    """The first n sentences of a summary, or all of it where it has none."""
+    return bind(sentences(text), lambda s: F.when(F.size(s) > 0, F.array_join(F.slice(s, 1, n), " ")).otherwise(text))
+
+
+def headed(title: Column, summary: Column, n: int = 2) -> Column:
+    """What an item says of itself: its title and its opening."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), opening(F.coalesce(summary, F.lit("")), n))
+
+
+def first_story(text: Column) -> Column:
+    """Without what a digest joins on after its first story."""
+    at = F.regexp_instr(text, F.lit(rf"(?i)[.!?][{SPACE}]+(?:And|Also|Plus|Meanwhile|Elsewhere),[{SPACE}]+"))
+    return F.when(at > 21, trimmed(F.left(text, at))).otherwise(text)
 
 
 def hard_facts(text: Column) -> Column:
@@ -77,16 +143,105 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
+def restates(a: Column, b: Column) -> Column:
+    """Whether two arrays of terms are mostly the same."""
+    return overlap(F.array_distinct(a), F.array_distinct(b)) > 0.45
+
+
+def same_idea(a: Column, b: Column, core: Column) -> Column:
+    """Whether two texts share wording, or most of the terms that they add to the core."""
+
+    def added(text: Column) -> Column:
+        return F.array_except(terms(text), core)
+
+    close = bind(added(a), lambda x: bind(added(b), lambda y: (F.least(F.size(x), F.size(y)) >= 3) & (overlap(x, y) > 0.5)))
+    return (overlap(shingles(a, 5), shingles(b, 5)) > 0.3) | close
+
+
 def link_key(url: Column) -> Column:
     return F.regexp_replace(F.substring_index(url, "?", 1), r"/\z", "")
 
 
+def story_id(link: Column) -> Column:
+    """The last 24 letters and digits of a link without its query."""
+    return F.right(F.regexp_replace(F.substring_index(link, "?", 1), "[^A-Za-z0-9]+", ""), F.lit(24))
+
+
+#: Named entities in the order in which they are decoded; numeric ones come after the first, `&amp;` last.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&rsquo;", "'"), ("&lsquo;", "'"), ("&apos;", "'"), ("&ldquo;", '"'),
+    ("&rdquo;", '"'), ("&hellip;", "..."), ("&mdash;", ", "), ("&ndash;", ", "), ("&amp;", "&"),
+)
+
+
+def _character(hexadecimal: Column) -> Column:
+    """The character of a code point; one that is none becomes the replacement character."""
+    digits = F.upper(F.regexp_replace(hexadecimal, "^0+(?=.)", ""))
+    padded = F.lpad(digits, 8, "0")
+    valid = (F.length(digits) <= 6) & (padded <= "0010FFFF") & ~padded.between("0000D800", "0000DFFF")
+    return F.when(valid, F.decode(F.unhex(F.when(valid, padded).otherwise("0000FFFD")), "UTF-32")).otherwise("\ufffd")
+
+
+def decode_entities(text: Column) -> Column:
+    def number(m: Column) -> Column:
+        value = F.regexp_extract(m, "([0-9A-Fa-f]+);", 1)
+        return _character(F.when(m.rlike("(?i)^&#x"), value).otherwise(F.conv(value, 10, 16)))
+
+    out = replace_each(F.replace(text, F.lit("&nbsp;"), F.lit(" ")), "(?i)&#(?:x[0-9a-f]+|[0-9]+);", number)
+    for entity, is_ in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(is_))
+    return out
+
+
+def strip_tags(text: Column) -> Column:
+    out = F.regexp_replace(text, r"(?is)<script.*?</script>", " ")
+    out = F.regexp_replace(out, r"(?is)<style.*?</style>", " ")
+    return F.regexp_replace(out, r"<[^>]*>", " ")
+
+
 def strip_html(html: Column, rounds: int = 3) -> Column:
-    """Text of a page: entities decoded, scripts, styles and tags dropped, as often as it takes (at most `rounds`)."""
-    out = html
-    for _ in range(rounds):
-        for entity, is_ in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-            out = F.replace(out, F.lit(entity), F.lit(is_))
-        out = F.regexp_replace(out, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " ")
-        out = F.regexp_replace(out, r"<[^>]+>", " ")
-    return F.trim(F.regexp_replace(out, r"[ \t\r\n\f\x0b\xa0]+", " "))
+    """Text of a page: entities decoded and tags dropped `rounds` times, since some feeds escape twice; tidy spaces.
+
+    A round that changes nothing leaves the text as it is, so texts that are plain sooner are not harmed by the rest.
+    """
+    turns = F.sequence(F.lit(1), F.lit(rounds))
+    out = F.aggregate(turns, F.coalesce(html, F.lit("")), lambda t, _: F.when(t.rlike("[<&]"), strip_tags(decode_entities(t))).otherwise(t))
+    for pattern, is_ in (
+        (r"(?i)&[a-z]+;", " "),
+        ("[\u2018\u2019]", "'"),
+        ("[\u201c\u201d]", '"'),
+        (rf"\([{SPACE}]+", "("),
+        (rf"[{SPACE}]+\)", ")"),
+        (rf"[{SPACE}]+([,.;:!?])", "$1"),
+        (rf"[{SPACE}]+", " "),
+    ):
+        out = F.regexp_replace(out, pattern, is_)
+    return trimmed(out)
+
+
+def escape_html(text: Column) -> Column:
+    out = F.coalesce(text, F.lit(""))
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
+
+
+def without_dashes(text: Column) -> Column:
+    """Dashes become commas, runs of spaces one space."""
+    return trimmed(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACE}]*[–—][{SPACE}]*", ", "), rf"[{SPACE}]{{2,}}", " "))
+
+
+def long_date(day: Column) -> Column:
+    return F.date_format(day, "EEEE, MMMM d, yyyy")
+
+
+def edition_date(ts: Column, zone: str = "America/Denver") -> Column:
+    """The reader's calendar day of a time in UTC."""
+    return F.to_date(F.from_utc_timestamp(ts, zone))
+
+
+def listed(names: Column) -> Column:
+    """a, b and c."""
+    n = F.size(names)
+    most = F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(0))), ", ")
+    return F.when(n > 1, F.concat(most, F.lit(" and "), F.get(names, n - 1))).otherwise(F.coalesce(F.get(names, F.lit(0)), F.lit("")))

@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import BEATS, DOCUMENTED, STATED, UNNAMED
-from ..functions.text import shingles, tokens, whole
+from ..functions.lexicons import BEATS, BIG_CLAIMS, CAMP_NAMES, DOCUMENTED, FRAMING, NATIONAL, STATED, UNNAMED
+from ..functions.text import AHEAD, BEHIND, headed, plain_words, story_id, terms, tokens, whole
+from .edition import first_of
 
 
 def term_counts(items: DataFrame, key: str, text: str) -> DataFrame:
     return items.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def idf(items: DataFrame, key: str, text: str) -> DataFrame:
-    """term, df, idf = ln((items + 1) / (df + 0.5))."""
-    n = items.agg(F.count("*").alias("_n"))
-    df = items.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def _idf(counts: DataFrame, n: DataFrame) -> DataFrame:
+    """term, df, idf = ln((items + 1) / (df + 0.5)) from one row for each item and term; n: one row with _n."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(n)).select("term", "df", F.log((F.col("_n") + 1) / (F.col("df") + 0.5)).alias("idf"))  # n: one row
 
 
+def idf(items: DataFrame, key: str, text: str) -> DataFrame:
+    """term, df, idf of the items; key is one of its own for each item."""
+    each = items.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    return _idf(each, items.agg(F.count("*").alias("_n")))
+
+
 def tfidf(items: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, weight: unit vectors of tf * idf."""
-    raw = term_counts(items, key, text).join(idf(items, key, text), "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    """key, term, weight: unit vectors of tf * idf. Texts are read as words once; the counts serve both sides."""
+    counts = term_counts(items, key, text)
+    raw = counts.join(_idf(counts, items.agg(F.count("*").alias("_n"))), "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("_w") / F.when(norm > 0, norm).otherwise(1.0)).alias("weight"))
 
@@ -34,25 +41,54 @@ def cosines(vectors: DataFrame, key: str, group: str) -> DataFrame:
     return a.join(b, [group, "term"]).where("a < b").groupBy(group, "a", "b").agg(F.sum(F.col("weight") * F.col("_wb")).alias("cosine"))
 
 
-def classify(text: Column, beats: dict = BEATS, least: int = 2, otherwise: str = "nation") -> Column:
-    """The beat with most of its words in the text, first listed of equals; `otherwise` below `least`."""
-    low = F.lower(text)
-    score = lambda words: sum((low.contains(w).cast("int") for w in words), F.lit(0))
-    scored = F.array(*[F.struct((-score(ws)).alias("n"), F.lit(i).alias("i"), F.lit(b).alias("beat")) for i, (b, ws) in enumerate(beats.items())])
-    best = F.array_min(scored)
-    return F.when(best["n"] <= -least, best["beat"]).otherwise(otherwise)
+#: Beats that a story of a world desk may be given, if this many of their words are met.
+ABROAD, ABROAD_LEAST = ("science", "health", "climate", "technology"), 3
+
+
+def classify(title: Column, summary: Column, source_beat: Column, beats: dict = BEATS, least: int = 2) -> Column:
+    """The beat with most of its words in the title and the first 300 characters of a stripped summary, first of equals.
+
+    Below `least` words, and for most stories of a world desk, the beat of the source.
+    """
+    low = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.left(F.coalesce(summary, F.lit("")), F.lit(300))))
+
+    def best_of(t: Column) -> Column:
+        score = lambda ws: sum((t.contains(w).cast("int") for w in ws), F.lit(0))
+        scored = [F.struct((-score(ws)).alias("n"), F.lit(i).alias("i"), F.lit(b).alias("beat")) for i, (b, ws) in enumerate(beats.items())]
+        return F.array_min(F.array(*scored))
+
+    best = F.transform(F.array(low), best_of)[0]
+    abroad = (best["n"] <= -ABROAD_LEAST) & best["beat"].isin(*ABROAD)
+    return F.when(F.when(source_beat == "world", abroad).otherwise(best["n"] <= -least), best["beat"]).otherwise(source_beat)
+
+
+def _wording(items: DataFrame, n: int) -> DataFrame:
+    """story_id, ord, outlet, shingle (hashed, 64 bits), _n: the distinct shingles of each summary and their number."""
+    each = F.transform(
+        F.array(plain_words(F.coalesce("summary_text", F.lit("")))),
+        lambda w: F.array_distinct(
+            F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n))))
+            .otherwise(F.array().cast("array<bigint>"))
+        ),
+    )[0]
+    sets = items.select("story_id", "ord", "outlet", each.alias("_s"))
+    return sets.select("story_id", "ord", "outlet", F.size("_s").alias("_n"), F.explode("_s").alias("shingle"))
 
 
 def same_wording(items: DataFrame, n: int = 7, least: float = 0.25) -> DataFrame:
     """story_id, a, b, overlap: items of different outlets of a story that share shingles.
 
-    Joined on the shingle, so pairs that share nothing are never formed.
+    Joined on hashes of shingles that two outlets of a story use, so pairs that share nothing are never formed, and what
+    one outlet alone says is summed away before it moves a second time.
     """
-    sets = items.select("story_id", "ord", "outlet", shingles(F.col("summary_text"), n).alias("_s")).withColumn("_n", F.size("_s"))
-    long = sets.select("story_id", "ord", "outlet", "_n", F.explode("_s").alias("shingle"))
+    long = _wording(items, n)
+    again = long.groupBy("story_id", "shingle").agg(F.min("outlet").alias("_lo"), F.max("outlet").alias("_hi")).where("_lo < _hi")
+    long = long.join(again.select("story_id", "shingle"), ["story_id", "shingle"])
     other = long.select("story_id", "shingle", F.col("ord").alias("b"), F.col("outlet").alias("_o"), F.col("_n").alias("_m"))
     pairs = long.withColumnRenamed("ord", "a").join(other, ["story_id", "shingle"]).where("a < b and outlet <> _o")
-    out = pairs.groupBy("story_id", "a", "b").agg((F.count("*") / F.least(F.first("_n"), F.first("_m"))).alias("overlap"))
+    out = pairs.groupBy("story_id", "a", "b").agg(
+        (F.count("*") / F.least(F.first("_n"), F.first("_m"))).alias("overlap"), F.first("outlet").alias("outlet_a"), F.first("_o").alias("outlet_b")
+    )
     return out.where(F.col("overlap") >= least)
 
 
@@ -64,57 +100,115 @@ def bursts(items: DataFrame, hours: int = 3) -> DataFrame:
     return timed.withColumn("_k", F.size(F.collect_set("outlet").over(ahead))).groupBy("story_id").agg(F.max("_k").cast("long").alias("burst"))
 
 
+def first_seen(value: Column, order: Column) -> Column:
+    """Aggregate: the distinct values in the order of their first place. value null: passed over."""
+    pairs = F.array_sort(F.collect_set(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
+    return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
+
+
 def signals(items: DataFrame) -> DataFrame:
-    """One row for each story: outlets, camps, sourcing shares, burst, cloned outlets, sides."""
-    text = F.concat_ws(". ", "title", "summary_text")
+    """One row for each story with the measures of its coverage: outlets, camps, sourcing, wording, bursts, states, sides.
+
+    Sourcing is read from titles and openings, wording from whole summaries. Shares have two decimals. items: story_id,
+    ord, outlet, camp, state, title, summary_text, ts.
+    """
     camp = lambda *names: F.col("camp").isin(*names)
-    side = ~camp("state", "independent")
-    base = items.withColumn("_t", text).groupBy("story_id").agg(
+    side, state = ~camp("state", "independent"), camp("state")
+    share = lambda hit: F.round(F.avg(hit.cast("double")), 2)
+    distinct = lambda when, c: F.array_sort(F.collect_set(F.when(when, F.col(c))))
+    base = items.withColumn("_t", headed(F.col("title"), F.col("summary_text"))).groupBy("story_id").agg(
         F.count_distinct("outlet").alias("outlets"),
         F.array_sort(F.collect_set("camp")).alias("camps"),
-        F.round(F.avg(F.col("_t").rlike(whole(UNNAMED)).cast("double")), 2).alias("anonymous"),
-        F.round(F.avg(F.col("_t").rlike(whole(STATED)).cast("double")), 2).alias("statement_led"),
+        share(F.col("_t").rlike(whole(UNNAMED))).alias("anonymous"),
+        share(F.col("_t").rlike(whole(STATED))).alias("statement_led"),
         F.bool_or(F.col("_t").rlike(whole(DOCUMENTED))).alias("documented"),
-        F.round(F.avg(camp("state").cast("double")), 2).alias("state_share"),
-        F.array_sort(F.collect_set(F.when(side, F.col("camp")))).alias("_sides"),
-        F.array_sort(F.collect_set(F.when(side, F.col("outlet")))).alias("_side_outlets"),
+        share(state).alias("state_share"),
+        distinct(state, "outlet").alias("state_outlets"),
+        distinct(state, "state").alias("states"),
+        F.bool_and(state).alias("state_only"),
+        F.count_distinct(F.when(~state, F.col("outlet"))).alias("non_state_outlets"),
+        distinct(side, "camp").alias("_sides"),
+        distinct(side, "outlet").alias("_side_outlets"),
+    )
+    pairs = same_wording(items, least=0.0)
+    best = pairs.groupBy("story_id").agg(
+        F.round(F.max("overlap"), 2).alias("clone_best"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("overlap") >= 0.25, F.array("outlet_a", "outlet_b")))))).alias("cloned_outlets"),
     )
-    pairs = same_wording(items)
-    named = items.select("story_id", F.col("ord"), "outlet")
-    in_pair = pairs.select("story_id", F.explode(F.array("a", "b")).alias("ord")).distinct()
-    cloned = in_pair.join(named, ["story_id", "ord"]).groupBy("story_id").agg(F.count_distinct("outlet").alias("cloned"))
     alone = F.size("_sides") == 1
-    return (
-        base.join(cloned, "story_id", "left")
-        .join(bursts(items), "story_id", "left")
-        .withColumns(
-            {
-                "cloned": F.coalesce("cloned", F.lit(0)).cast("long"),
-                "burst": F.coalesce("burst", F.lit(0)).cast("long"),
-                "sole_camp": F.when(alone, F.col("_sides")[0]),
-                "one_sided": alone & (F.col("_sides")[0] != "center") & (F.size("_side_outlets") >= 2),
-                "only_independent": (F.array_join("camps", ",") == "independent") & (F.col("outlets") >= 2),
-            }
-        )
-        .drop("_sides", "_side_outlets")
+    none = F.array().cast("array<string>")
+    found = base.join(best, "story_id", "left").join(bursts(items), "story_id", "left").withColumns(
+        {
+            "cloned_outlets": F.coalesce("cloned_outlets", none),
+            "clone_best": F.coalesce("clone_best", F.lit(0.0)),
+            "burst": F.coalesce("burst", F.lit(0)).cast("long"),
+            "sole_camp": F.when(alone, F.col("_sides")[0]),
+            "side_outlets": F.when(alone, F.col("_side_outlets")).otherwise(none),
+            "one_sided": alone & (F.col("_sides")[0] != "center") & (F.size("_side_outlets") >= 2),
+            "only_independent": (F.array_join("camps", ",") == "independent") & (F.col("outlets") >= 2),
+        }
     )
+    return found.withColumn("cloned", F.size("cloned_outlets").cast("long")).drop("_sides", "_side_outlets")
 
 
-def verdict(found: DataFrame) -> DataFrame:
-    """found (signals) with verdict: the first grade that fits, or null."""
+def _grades() -> tuple[tuple[str, Column], ...]:
     c = F.col
     undocumented = ~c("documented") & (c("outlets") >= 4)
     marks = [c("cloned") >= 3, c("anonymous") >= 0.5, c("burst") >= 6, c("statement_led") >= 0.5, undocumented]
     heavy = sum((m.cast("int") for m in marks), F.lit(0))
     several = c("outlets") >= 3
-    grade = (
-        F.when(heavy >= 3, "manufactured")
-        .when((c("cloned") >= 3) | ((c("statement_led") >= 0.5) & several), "single-source")
-        .when((c("anonymous") >= 0.6) & several, "anonymous")
-        .when(c("one_sided"), "one-sided")
-        .when(c("only_independent"), "under-covered")
+    return (
+        ("manufactured", heavy >= 3),
+        ("single-source", (c("cloned") >= 3) | ((c("statement_led") >= 0.5) & several)),
+        ("anonymous", (c("anonymous") >= 0.6) & several),
+        ("one-sided", c("one_sided")),
+        ("under-covered", c("only_independent")),
     )
-    return found.withColumn("verdict", grade)
+
+
+def verdict(found: DataFrame) -> DataFrame:
+    """found (signals) with verdict: the first grade that fits, or null."""
+    return found.withColumn("verdict", F.coalesce(*[F.when(fits, grade) for grade, fits in _grades()]))
+
+
+def explained(graded: DataFrame) -> DataFrame:
+    """graded (signals with verdict) with the title of the verdict and its reasons; null where there is no verdict."""
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in CAMP_NAMES.items() for x in pair]), F.col("sole_camp"))
+    titles = {
+        "manufactured": F.lit("This looks like a coordinated push"),
+        "single-source": F.lit("Many outlets, one source"),
+        "anonymous": F.lit("Relies on unnamed sources"),
+        "one-sided": F.concat(F.lit("Only "), named, F.lit(" is running this")),
+        "under-covered": F.lit("Only independent outlets have this"),
+    }
+    title = F.coalesce(*[F.when(F.col("verdict") == grade, t) for grade, t in titles.items()])
+    return graded.withColumns({"verdict_title": title, "reasons": F.when(F.col("verdict").isNotNull(), reasons())})
+
+
+def reasons() -> Column:
+    """What was counted, in sentences; a fixed one where nothing stands out. Needs the columns of signals."""
+    c = F.col
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    several = c("outlets") >= 3
+    source = said(c("cloned"), " outlets used nearly the same wording, so this is likely one source repeated, not ", c("cloned"), " separate reports")
+    sides = F.array_join("side_outlets", ", ")
+    found = F.array(
+        F.when(c("cloned") >= 3, source).when(c("cloned") == 2, "two outlets used nearly the same wording"),
+        F.when((c("anonymous") >= 0.5) & several, "most of the coverage relies on unnamed officials"),
+        F.when(~c("documented") & (c("outlets") >= 4), "none of the coverage points to a document, court ruling, report or data"),
+        F.when((c("statement_led") >= 0.5) & several, "most of the coverage repeats a press release or official statement"),
+        F.when(c("burst") >= 6, said(c("burst"), " outlets published it within the same three hours")),
+        F.when(c("one_sided"), said("reported by ", sides, ", and no outlet from the other side")),
+        F.when(c("only_independent"), "no left, center or right outlet has reported it yet"),
+    )
+    kept = F.filter(found, lambda x: x.isNotNull())
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("based on how the story was covered")))
+
+
+def worth_saying(reasons_: Column, title: Column) -> Column:
+    """Reasons that do more than restate the title."""
+    letters = lambda t: F.regexp_replace(F.lower(t), "[^a-z]", "")
+    return F.filter(reasons_, lambda r: ~letters(r).contains(letters(title)) & (letters(r) != "basedonhowthestorywascovered"))
 
 
 def confidence(outlets: Column, camps: Column, big_claim: Column) -> Column:
@@ -128,43 +222,117 @@ def confidence(outlets: Column, camps: Column, big_claim: Column) -> Column:
     )
 
 
-def weights(items: DataFrame, now: Column, hours: int = 30) -> DataFrame:
-    """story_id, weight: 3 an outlet, 7 a camp, 2 for an independent, 5 if the first item is fresh."""
-    fresh = F.min_by(F.col("ts").cast("timestamp") > now - F.expr(f"interval {hours} hours"), "ord")
-    return items.groupBy("story_id").agg(
-        (
-            F.count_distinct("outlet") * 3
-            + F.count_distinct("camp") * 7
-            + F.max(F.when(F.col("camp") == "independent", 2).otherwise(0))
-            + F.when(fresh, 5).otherwise(0)
-        ).cast("long").alias("weight")
+def big_claim(title: Column) -> Column:
+    return title.rlike(whole(BIG_CLAIMS))
+
+
+def is_local(scope: Column, title: Column, summary: Column) -> Column:
+    """A local newsroom's story without a sign that it reaches past its own state."""
+    return F.coalesce((scope == "state") & ~F.concat_ws(" ", title, summary).rlike(whole(NATIONAL)), F.lit(False))
+
+
+def lead_items(items: DataFrame) -> DataFrame:
+    """The item that leads each story: not republished, the calmest, independent first, the longest summary, the first."""
+    order = (
+        F.coalesce("republished", F.lit(False)).asc(),
+        F.col("heat").asc(),
+        (F.col("camp") == "independent").desc(),
+        F.length(F.coalesce("summary_text", F.lit(""))).desc(),
+        F.col("ord").asc(),
+    )
+    return first_of(items, ["story_id"], *order)
+
+
+def weights(items: DataFrame, hours: int = 30) -> DataFrame:
+    """story_id, weight: 3 an outlet, 7 a camp, 2 for an independent, 5 if the lead is fresh, less 9 if it is local.
+
+    items: those of lead_items and ts, now, scope.
+    """
+    lead = lead_items(items).select(
+        "story_id",
+        F.coalesce(F.col("ts") > F.col("now") - F.expr(f"interval {hours} hours"), F.lit(False)).alias("_fresh"),
+        is_local(F.col("scope"), F.col("title"), F.col("summary_text")).alias("is_local"),
+    )
+    counts = items.groupBy("story_id").agg(
+        (F.count_distinct("outlet") * 3 + F.count_distinct("camp") * 7 + F.max(F.when(F.col("camp") == "independent", 2).otherwise(0))).alias("_w")
+    )
+    weight = F.col("_w") + F.when(F.col("_fresh"), 5).otherwise(0) - F.when(F.col("is_local"), 9).otherwise(0)
+    return counts.join(lead, "story_id").select("story_id", weight.cast("long").alias("weight"), "is_local")
+
+
+def build_stories(items: DataFrame) -> DataFrame:
+    """One row for each story: its lead's wording, beat, outlets, camps, weight and names.
+
+    items: story_id, edition_date, now, pool, ord and the columns of items.
+    """
+    per_beat = items.groupBy("story_id", "beat").agg(F.count("*").alias("_n"), F.min("ord").alias("_o"))
+    beat = per_beat.groupBy("story_id").agg(F.min_by("beat", F.struct(-F.col("_n"), "_o")).alias("beat"))
+    groups = items.groupBy("story_id").agg(
+        first_seen(F.col("outlet"), F.col("ord")).alias("outlets"),
+        first_seen(F.col("camp"), F.col("ord")).alias("camps"),
+        F.bool_or(big_claim(F.col("title"))).alias("big_claim"),
+        F.min("ord").alias("first_ord"),
+    )
+    names = F.regexp_extract_all("title", F.lit(f"{BEHIND}[A-Z][a-zA-Z]{{3,}}{AHEAD}"), F.lit(0))
+    lead = lead_items(items).select(
+        "story_id", "edition_date", "pool", story_id(F.col("link")).alias("id"), F.col("title_neutral").alias("headline"),
+        F.col("title").alias("as_published"), F.col("summary_text").alias("summary"), "link", "link_key", F.col("outlet").alias("source"),
+        F.col("lean").alias("source_lean"), "scope", "ms", F.array_distinct(F.transform(names, F.lower)).alias("names"),
+    )
+    out = lead.join(groups, "story_id").join(beat, "story_id").join(weights(items), "story_id")
+    return out.withColumn("sure", confidence(F.size("outlets"), F.col("camps"), F.col("big_claim"))).withColumn(
+        "sure_text", sure_text(F.col("sure"), F.col("outlets"), F.col("camps"))
+    )
+
+
+def sure_text(level: Column, outlets: Column, camps: Column) -> Column:
+    """The confidence of a story in a sentence."""
+    n = F.size(outlets).cast("string")
+    sides = F.array_join(F.array_intersect(camps, F.array(F.lit("left"), F.lit("center"), F.lit("right"))), ", ")
+    across = F.concat(F.lit("Confirmed by "), n, F.lit(" outlets across the "), F.regexp_replace(sides, r", ([^,]*)\z", " and $1"), F.lit("."))
+    return (
+        F.when(level == "confirmed", across)
+        .when(level == "unconfirmed", "Only one outlet has reported this, and the headline makes a big claim. Treat it as unconfirmed for now.")
+        .when(level == "single", "Only one outlet has reported this so far.")
+        .when(level == "thin", F.concat(F.lit("Only "), n, F.lit(" outlets have this, and the headline makes a big claim. Worth waiting for more reporting.")))
+        .otherwise(F.concat(F.lit("Reported by "), n, F.lit(" outlets.")))
     )
 
 
+def camp_terms(items: DataFrame) -> DataFrame:
+    """story_id, term, camps, camp: in how many camps the titles and openings of a story hold a term, and one of them."""
+    each = items.select("story_id", "camp", F.explode(F.array_distinct(terms(headed(F.col("title"), F.col("summary_text"))))).alias("term"))
+    return each.distinct().groupBy("story_id", "term").agg(F.count("*").alias("camps"), F.min("camp").alias("camp"))
+
+
 def exclusive_terms(items: DataFrame) -> DataFrame:
-    """story_id, camp, term, outlets: terms that only one camp of a story uses, with enough of its outlets."""
-    each = items.select("story_id", "camp", "outlet", "ord", F.explode(F.array_distinct(tokens(F.col("summary_text")))).alias("term"))
+    """story_id, camp, term, outlets: terms of titles and first sentences that no other camp of a story holds in its
+    titles and openings, with enough outlets of the camp behind them."""
+    head = terms(headed(F.col("title"), F.col("summary_text"), 1))
+    mine = items.select("story_id", "camp", "outlet", F.explode(F.array_distinct(head)).alias("term")).distinct()
+    per = mine.groupBy("story_id", "camp", "term").agg(F.count("*").alias("outlets"))
     size = items.groupBy("story_id", "camp").agg(F.count("*").alias("_items"))
-    per = each.groupBy("story_id", "term").agg(F.count_distinct("camp").alias("_camps"), F.min("camp").alias("camp"), F.count_distinct("outlet").alias("outlets"))
+    alone = camp_terms(items).where("camps = 1").select("story_id", "term")
     need = F.when(F.col("_items") > 2, 2).otherwise(1)
-    return per.where("_camps = 1").join(size, ["story_id", "camp"]).where(F.col("outlets") >= need).select("story_id", "camp", "term", "outlets")
+    joined = per.join(alone, ["story_id", "term"], "left_semi").join(size, ["story_id", "camp"])
+    return joined.where(F.col("outlets") >= need).select("story_id", "camp", "term", "outlets")
 
 
 def crossed_terms(items: DataFrame) -> DataFrame:
-    """story_id, term, camps: terms that two camps of a story or more use."""
-    each = items.select("story_id", "camp", F.explode(F.array_distinct(tokens(F.col("summary_text")))).alias("term"))
-    return each.groupBy("story_id", "term").agg(F.count_distinct("camp").alias("camps")).where("camps >= 2")
+    """story_id, term, camps: terms that two camps of a story or more hold in titles and openings."""
+    return camp_terms(items).where("camps >= 2").select("story_id", "term", "camps")
 
 
-def framing(items: DataFrame, families: dict[str, tuple[str, ...]], most: int = 3) -> DataFrame:
+def framing(items: DataFrame, families: dict[str, tuple[str, ...]] = FRAMING, most: int = 3) -> DataFrame:
     """story_id, family, camp, words: vocabulary that camps of a story choose differently, `most` families a story.
 
-    A family counts if two camps use it and two of its words are used. Words count wherever they stand in the lower-case
-    text. Families are tried in their order, inside the row, so no join is needed.
+    A family counts if two camps use it and two of its words are used. Words count wherever they stand in titles and
+    openings in lower case. Families are tried in their order, inside the row, so no join is needed.
     """
-    low = F.lower(F.concat_ws(". ", "title", "summary_text"))
+    low = F.lower(headed(F.col("title"), F.col("summary_text")))
     listed = [F.struct(F.lit(i).alias("i"), F.lit(f).alias("family"), F.lit(w).alias("word")) for i, (f, ws) in enumerate(families.items()) for w in ws]
-    used = items.select("story_id", "camp", F.explode(F.filter(F.array(*listed), lambda x: low.contains(x["word"]))).alias("u")).distinct()
+    met = F.transform(F.array(low), lambda t: F.filter(F.array(*listed), lambda x: t.contains(x["word"])))[0]
+    used = items.select("story_id", "camp", F.explode(met).alias("u")).distinct()
     split = used.groupBy("story_id", F.col("u.i").alias("i"), F.col("u.family").alias("family")).agg(
         F.count_distinct("camp").alias("_camps"), F.count_distinct("u.word").alias("_words")
     )

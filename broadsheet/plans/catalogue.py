@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
-from ..operators import clusters, edition, filters, stories
-from ..sources.feeds import FEED_ITEMS, feed_items
+from ..operators import edition, filters, stories
 from ..streaming import notes
+from . import news
+from .sql import any_word, sentences_of, tokens_of
 
 NOW = "2024-01-31 00:00:00"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(news.QUERIES)
+ORACLES: dict[str, str] = dict(news.ORACLES)
 
 
 def _query(oracle: str | None = None):
@@ -29,71 +30,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _listed(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
 # ---- parts of the oracles
 
-ITEMS = "items as (" + FEED_ITEMS.format(documents="documents", events="events") + ")"
-
-
-def _words(column: str) -> str:
-    return rf"list_filter(string_split(regexp_replace(lower({column}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
-
-
-def _tokens(column: str) -> str:
-    return f"list_filter({_words(column)}, lambda w: length(w) > 3 and not list_contains({_listed(lexicons.STOP_WORDS)}, w))"
-
-
-TOKENS = f"tok as (select doc_id, unnest({_tokens('text')}) as term from documents)"
+TOKENS = f"tok as (select doc_id, unnest({tokens_of('text')}) as term from documents)"
 IDF = (
     "idf as (select term, count(distinct doc_id) as df, ln((select count(*) + 1 from documents) / (count(distinct doc_id) + 0.5)) as idf"
     " from tok group by term)"
 )
 TFIDF = f"""{TOKENS}, {IDF}, raw as (select doc_id, term, count(*) * any_value(idf) as w from tok join idf using (term) group by doc_id, term),
 vec as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from raw)"""
-STORY_TERMS = f"terms as (select distinct story_id, camp, outlet, ord, unnest({_tokens('summary_text')}) as term from items)"
-WORDING = f"""sets as (select story_id, ord, outlet, {_words('summary_text')} as w from items),
-sh as (select distinct story_id, ord, outlet, list_aggregate(w[i:i + 6], 'string_agg', ' ') as s
-  from (select story_id, ord, outlet, w, unnest(range(1, len(w) - 5)) as i from sets)),
-num as (select ord, count(*) as n from sh group by ord),
-wording as (select a.story_id, a.ord as a, b.ord as b, count(*) / least(any_value(x.n), any_value(y.n)) as overlap
-  from sh a join sh b on a.story_id = b.story_id and a.s = b.s and a.ord < b.ord and a.outlet <> b.outlet
-  join num x on x.ord = a.ord join num y on y.ord = b.ord group by 1, 2, 3 having overlap >= 0.25)"""
-BURST = """timed as (select story_id, outlet, epoch_ms(ts) as ms from items where ts is not null),
-burst as (select a.story_id, max(k) as burst from (select a.story_id, a.ms, count(distinct b.outlet) as k from timed a
-  join timed b on a.story_id = b.story_id and b.ms between a.ms and a.ms + 10800000 group by 1, 2) a group by 1)"""
-
-
-def _any(words: str) -> str:
-    return rf"(?i)\b(?:{words})\b"
-
-
-_SOURCED = "title || '. ' || summary_text"
-SIGNALS = f"""{ITEMS}, {WORDING}, {BURST},
-base as (select story_id, count(distinct outlet) as outlets, list_sort(list(distinct camp)) as camps,
-  round(avg(regexp_matches({_SOURCED}, '{_any(lexicons.UNNAMED)}')::int), 2) as anonymous,
-  round(avg(regexp_matches({_SOURCED}, '{_any(lexicons.STATED)}')::int), 2) as statement_led,
-  bool_or(regexp_matches({_SOURCED}, '{_any(lexicons.DOCUMENTED)}')) as documented,
-  round(avg((camp = 'state')::int), 2) as state_share,
-  count(distinct outlet) filter (camp not in ('state', 'independent')) as side_outlets,
-  count(distinct camp) filter (camp not in ('state', 'independent')) as sides,
-  min(camp) filter (camp not in ('state', 'independent')) as side
-  from items group by story_id),
-cl as (select w.story_id, count(distinct i.outlet) as cloned from (select story_id, a as ord from wording union select story_id, b from wording) w
-  join items i on i.ord = w.ord group by 1),
-sig as (select b.story_id, outlets, camps, anonymous, statement_led, documented, state_share, coalesce(cloned, 0) as cloned,
-  coalesce(burst, 0) as burst, case when sides = 1 then side end as sole_camp,
-  sides = 1 and side <> 'center' and side_outlets >= 2 as one_sided,
-  camps = ['independent'] and outlets >= 2 as only_independent
-  from base b left join cl on cl.story_id = b.story_id left join burst u on u.story_id = b.story_id)"""
-
 
 # ---- documents
 
 
-@_query(f"select doc_id, len({_tokens('text')}) as n_tokens, len(list_distinct({_tokens('text')})) as n_distinct from documents")
+@_query(f"select doc_id, len({tokens_of('text')}) as n_tokens, len(list_distinct({tokens_of('text')})) as n_distinct from documents")
 def tokenize_counts(spark, sf_dir):
     found = _read(spark, sf_dir, "documents").withColumn("t", text.tokens(F.col("text")))
     return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
@@ -125,23 +75,12 @@ def proper_names(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.proper_names(F.col("text"))).alias("names"))
 
 
-@_query()
+@_query(f"select doc_id, i - 1 as place, s[i] as sentence from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, {sentences_of('text')} as s from documents))")
 def sentences(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence"))
 
 
-_COUNT = lambda ws: " + ".join(f"contains(lower(text), '{w}')::int" for w in ws)
-_BEATS = ", ".join(f"({_COUNT(ws)}) as n{i}" for i, ws in enumerate(lexicons.BEATS.values()))
-_MOST = "greatest(" + ", ".join(f"n{i}" for i in range(len(lexicons.BEATS))) + ")"
-
-
-@_query(f"""with s as (select doc_id, {_BEATS} from documents) select doc_id, case when {_MOST} < 2 then 'nation' """
-        + " ".join(f"when n{i} = {_MOST} then '{b}'" for i, b in enumerate(lexicons.BEATS)) + " end as beat from s")
-def classify_argmax(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", stories.classify(F.col("text")).alias("beat"))
-
-
-@_query(rf"""select source, count(*) as docs, round(avg(regexp_matches(text, '{_any(lexicons.DOCUMENTED + "|license|copyright")}')::int), 6) as share
+@_query(rf"""select source, count(*) as docs, round(avg(regexp_matches(text, '{any_word(lexicons.DOCUMENTED + "|license|copyright")}')::int), 6) as share
 from documents group by source""")
 def share_matching(spark, sf_dir):
     hit = F.col("text").rlike(text.whole(lexicons.DOCUMENTED + "|license|copyright"))
@@ -150,16 +89,27 @@ def share_matching(spark, sf_dir):
 
 # ---- pages
 
-_ROUND = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")]
+#: The named entities, written out for the oracle; the pages hold no numeric ones.
+_ROUND = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&rsquo;", "''"), ("&lsquo;", "''"), ("&apos;", "''"),
+    ("&ldquo;", '"'), ("&rdquo;", '"'), ("&hellip;", "..."), ("&mdash;", ", "), ("&ndash;", ", "), ("&amp;", "&"),
+]
 
 
 def _stripped(column: str) -> str:
+    """Three rounds of decoding and stripping, then the spaces; as steps over one row, since each names its text twice."""
+    steps = []
     for _ in range(3):
-        for a, b in _ROUND:
-            column = f"replace({column}, '{a}', '{b}')"
-        column = f"regexp_replace({column}, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g')"
-        column = f"regexp_replace({column}, '<[^>]+>', ' ', 'g')"
-    return rf"trim(regexp_replace({column}, '[ \t\r\n\f\v\x{{a0}}]+', ' ', 'g'))"
+        steps += [f"replace(t, '{a}', '{b}')" for a, b in _ROUND]
+        steps += [f"regexp_replace(t, '(?is){p}', ' ', 'g')" for p in ("<script.*?</script>", "<style.*?</style>", "<[^>]*>")]
+    steps += [
+        "regexp_replace(t, '(?i)&[a-z]+;', ' ', 'g')", "replace(replace(t, chr(8216), ), chr(8217), )",
+        "replace(replace(t, chr(8220), '\"'), chr(8221), '\"')", rf"regexp_replace(t, '\(\s+', '(', 'g')", rf"regexp_replace(t, '\s+\)', ')', 'g')",
+        rf"regexp_replace(t, '\s+([,.;:!?])', '\1', 'g')", rf"regexp_replace(t, '[\s\x{{0b}}\x{{a0}}]+', ' ', 'g')", "trim(t)",
+    ]
+    for step in steps:
+        column = step.replace("(t,", f"({column},", 1).replace("(t)", f"({column})", 1)
+    return column
 
 
 @_query(f"select page_id, md5({_stripped('html')}) as digest, length({_stripped('html')}) as n_chars from pages")
@@ -194,11 +144,13 @@ select v.vec_id, round(sum(u.x * c.x) / (sqrt(sum(u.x * u.x)) * sqrt(sum(c.x * c
 from (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) u
 join c on c.label = u.label and c.i = u.i join embeddings v on v.vec_id = u.vec_id group by 1""")
 def embedding_cosine(spark, sf_dir):
-    long = _read(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    centre = long.groupBy("label", "i").agg(F.avg("x").alias("c"))
-    joined = long.join(centre, ["label", "i"])
-    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
-    return joined.groupBy("vec_id").agg(F.round(dot("x", "c") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("c", "c"))), 5).alias("cosine"))
+    """Cosine to the centre of the label. Centres are arrays, so a vector is neither exploded nor shuffled to meet its own."""
+    vectors = _read(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    parts = vectors.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c"))
+    centre = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = dot("v", "c") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("c", "c")))
+    return vectors.join(centre, "label").select("vec_id", F.round(cosine, 5).alias("cosine"))
 
 
 @_query(f"select event_id from events where ts is null or ts between timestamp '{NOW}' - interval 3 day and timestamp '{NOW}' + interval 2 hour")
@@ -217,156 +169,3 @@ select user_id, event_type from (select *, row_number() over (partition by user_
 def modal_value_first_tie(spark, sf_dir):
     n = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
     return n.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), "first")).alias("event_type"))
-
-
-# ---- feed items and stories
-
-
-@_query(f"with {ITEMS} select * from items")
-def feed_view(spark, sf_dir):
-    return feed_items(spark, sf_dir)
-
-
-@_query(f"with {ITEMS}, {WORDING} select story_id, a, b, round(overlap, 6) as overlap from wording")
-def shingle_overlap_pairs(spark, sf_dir):
-    return stories.same_wording(feed_items(spark, sf_dir)).withColumn("overlap", F.round("overlap", 6))
-
-
-@_query(f"""with {ITEMS}, tok as (select ord as doc_id, unnest({_tokens('title')}) as term from items), {IDF.replace('from documents', 'from items')},
-raw as (select doc_id, term, count(*) * any_value(idf) as w from tok join idf using (term) group by 1, 2),
-vec as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight, story_id from raw join items on ord = doc_id)
-select a.story_id, a.doc_id as a, b.doc_id as b, round(sum(a.weight * b.weight), 6) as cosine from vec a join vec b
-on a.story_id = b.story_id and a.term = b.term and a.doc_id < b.doc_id group by 1, 2, 3""")
-def cosine_pairs(spark, sf_dir):
-    items = feed_items(spark, sf_dir)
-    vectors = stories.tfidf(items, "ord", "title").join(items.select("ord", "story_id"), "ord")
-    return stories.cosines(vectors, "ord", "story_id").withColumn("cosine", F.round("cosine", 6))
-
-
-@_query(f"with {ITEMS}, {BURST} select story_id, burst from burst")
-def burst_3h(spark, sf_dir):
-    return stories.bursts(feed_items(spark, sf_dir))
-
-
-@_query(f"""with {ITEMS} select story_id, ord, outlet from (select *, row_number() over (partition by story_id order by
-(camp = 'independent')::int desc, length(summary_text) desc, ord) as k from items) where k = 1""")
-def lead_per_group(spark, sf_dir):
-    order = ((F.col("camp") == "independent").desc(), F.length("summary_text").desc(), F.col("ord"))
-    return edition.first_of(feed_items(spark, sf_dir), ["story_id"], *order).select("story_id", "ord", "outlet")
-
-
-@_query(f"with {ITEMS} select story_id, outlet, min(ord) as ord from items group by 1, 2")
-def first_per_outlet(spark, sf_dir):
-    return edition.first_of(feed_items(spark, sf_dir), ["story_id", "outlet"], F.col("ord")).select("story_id", "outlet", "ord")
-
-
-@_query(f"""with {ITEMS} select story_id, count(distinct outlet) * 3 + count(distinct camp) * 7 + max(case when camp = 'independent' then 2 else 0 end)
-+ case when arg_min(ts, ord) > timestamp '{NOW}' - interval 30 hour then 5 else 0 end as weight from items group by 1""")
-def story_weight(spark, sf_dir):
-    return stories.weights(feed_items(spark, sf_dir), F.lit(NOW).cast("timestamp"))
-
-
-@_query(f"with {ITEMS} select story_id, camp, list_sort(list(distinct outlet)) as outlets from items group by 1, 2")
-def camp_outlets(spark, sf_dir):
-    return feed_items(spark, sf_dir).groupBy("story_id", "camp").agg(F.array_sort(F.collect_set("outlet")).alias("outlets"))
-
-
-@_query(f"""with {ITEMS}, {STORY_TERMS}, size as (select story_id, camp, count(*) as n from items group by 1, 2),
-per as (select story_id, term, count(distinct camp) as camps, min(camp) as camp, count(distinct outlet) as outlets from terms group by 1, 2)
-select p.story_id, p.camp, term, outlets from per p join size s on s.story_id = p.story_id and s.camp = p.camp
-where camps = 1 and outlets >= case when n > 2 then 2 else 1 end""")
-def exclusive_terms(spark, sf_dir):
-    return stories.exclusive_terms(feed_items(spark, sf_dir))
-
-
-@_query(f"with {ITEMS}, {STORY_TERMS} select story_id, term, count(distinct camp) as camps from terms group by 1, 2 having count(distinct camp) >= 2")
-def crossed_terms(spark, sf_dir):
-    return stories.crossed_terms(feed_items(spark, sf_dir))
-
-
-@_query(f"with {SIGNALS} select * from sig")
-def signals(spark, sf_dir):
-    return stories.signals(feed_items(spark, sf_dir))
-
-
-@_query(f"""with {SIGNALS}, h as (select *, (cloned >= 3)::int + (anonymous >= 0.5)::int + (burst >= 6)::int + (statement_led >= 0.5)::int
-+ (not documented and outlets >= 4)::int as heavy from sig)
-select story_id, case when heavy >= 3 then 'manufactured' when cloned >= 3 or (statement_led >= 0.5 and outlets >= 3) then 'single-source'
-when anonymous >= 0.6 and outlets >= 3 then 'anonymous' when one_sided then 'one-sided' when only_independent then 'under-covered' end as verdict from h""")
-def verdict(spark, sf_dir):
-    return stories.verdict(stories.signals(feed_items(spark, sf_dir))).select("story_id", "verdict")
-
-
-_BIG = "historic|unprecedented|record[- ]breaking|first ever"
-
-
-@_query(rf"""with {ITEMS}, s as (select story_id, count(distinct outlet) as outlets, count(distinct camp) filter (camp in ('left', 'center', 'right')) as sides,
-bool_or(regexp_matches(title, '{_any(_BIG)}')) as big from items group by 1)
-select story_id, case when outlets >= 3 and sides >= 2 then 'confirmed' when outlets = 1 and big then 'unconfirmed' when outlets = 1 then 'single'
-when big and sides < 2 then 'thin' else 'some' end as level from s""")
-def how_sure(spark, sf_dir):
-    s = feed_items(spark, sf_dir).groupBy("story_id").agg(
-        F.count_distinct("outlet").alias("o"), F.collect_set("camp").alias("c"), F.bool_or(F.col("title").rlike(text.whole(_BIG))).alias("b")
-    )
-    return s.select("story_id", stories.confidence(F.col("o"), F.col("c"), F.col("b")).alias("level"))
-
-
-@_query(f"""with {ITEMS}, r as (select *, row_number() over (partition by outlet order by ts desc, ord) as k from items)
-select ord, outlet from r where k <= 3 order by ts desc, ord limit 6""")
-def per_outlet_cap(spark, sf_dir):
-    return edition.capped(feed_items(spark, sf_dir), "outlet", 3, 6, F.desc("ts"), F.col("ord")).select("ord", "outlet")
-
-
-#: Words that the test texts do hold, in families as the contested vocabulary has them.
-FAMILIES = {"size": ("hether", "anand"), "kind": ("entre", "eaux"), "rank": ("heit", "ung"), "turn": ("ción", "mente")}
-_FAMILIES = ", ".join(f"({i}, '{f}', '{w}')" for i, (f, ws) in enumerate(FAMILIES.items()) for w in ws)
-
-
-@_query(f"""with {ITEMS}, f(i, family, word) as (values {_FAMILIES}),
-used as (select distinct story_id, camp, i, family, word from items join f on contains(lower(title || '. ' || summary_text), word)),
-split as (select story_id, i, family from used group by 1, 2, 3 having count(distinct camp) >= 2 and count(distinct word) >= 2),
-kept as (select story_id, family from (select *, row_number() over (partition by story_id order by i) as k from split) where k <= 3)
-select story_id, family, camp, list_sort(list(distinct word)) as words from used join kept using (story_id, family) group by 1, 2, 3""")
-def framing_splits(spark, sf_dir):
-    return stories.framing(feed_items(spark, sf_dir), FAMILIES)
-
-
-@_query(rf"""with {ITEMS} select ord from items where not (regexp_matches(link, '(?i)/(?:{filters.PATHS})/')
-or regexp_matches(title, '(?i)^(?:{filters.OPENINGS})\b|\b(?:podcast|newsletter|crossword|briefing)\b')
-or regexp_matches(title, '(?is)^(?:{filters.AUXILIARIES})\b.*\?\s*$') or regexp_matches(title, '(?i)^(?:your|the) (?:weekly|daily|morning|evening)\b')
-or len(regexp_split_to_array(title, '\s+')) < 4)""")
-def reporting_filter(spark, sf_dir):
-    return feed_items(spark, sf_dir).where(filters.is_reporting(F.col("title"), F.col("link"))).select("ord")
-
-
-@_query(rf"""select distinct w as word from (select unnest(list_filter(regexp_split_to_array(text, '[ \t\r\n]+')[2:120],
-lambda w: regexp_full_match(w, '[a-z]+'))) as w from documents)""")
-def lexicon_words(spark, sf_dir):
-    """Lower-case words of an edition, without the first of each text, of its first 120."""
-    words = F.filter(F.slice(F.split("text", r"[ \t\r\n]+"), 2, 119), lambda w: w.rlike(r"^[a-z]+\z"))
-    return _read(spark, sf_dir, "documents").select(F.explode(words).alias("word")).distinct()
-
-
-@_query()
-def leader_cluster(spark, sf_dir):
-    """One pool for each outlet and day, as an edition has it."""
-    pool = F.concat_ws("/", F.col("outlet"), F.to_date("ts").cast("string"))
-    return clusters.cluster(feed_items(spark, sf_dir).withColumn("pool", pool))
-
-
-@_query()
-def select_edition(spark, sf_dir):
-    """An edition for each day; every item is a story of its own here."""
-    items = feed_items(spark, sf_dir)
-    ready = items.select(
-        F.to_date("ts").alias("edition_date"),
-        "ord",
-        F.right(F.regexp_replace("link", "[^A-Za-z0-9]", ""), F.lit(24)).alias("id"),
-        F.col("outlet").alias("source"),
-        stories.classify(F.col("summary_text")).alias("beat"),
-        F.lit(False).alias("is_local"),
-        F.length("title").cast("long").alias("weight"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
-        text.proper_names(F.col("title")).alias("names"),
-    )
-    return edition.select_edition(ready)
