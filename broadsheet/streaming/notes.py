@@ -58,10 +58,10 @@ def rejected(raw: DataFrame, origins: Sequence[str] = ()) -> DataFrame:
 STATE, OUT = "times array<long>", "client string, ts timestamp, allowed boolean"
 
 
-def limited(events: DataFrame, most: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
+def limited(events: DataFrame, most: int = LIMIT, seconds: int = SECONDS, late: str = "5 minutes") -> DataFrame:
     """client, ts, allowed of a stream of events (client, ts): false once `most` were allowed in the `seconds` before.
 
-    The state of a client is the at most `most` times that still count; it goes when the client has been silent so long.
+    The state of a client is the at most `most` times that still count; it goes once the watermark has left them behind.
     """
 
     def of_client(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,6 +69,7 @@ def limited(events: DataFrame, most: int = LIMIT, seconds: int = SECONDS) -> Dat
             state.remove()
             return
         times = list(state.get[0]) if state.exists else []
+        last = 0
         for x in batches:
             x = x.sort_values("ts")
             let = []
@@ -76,13 +77,13 @@ def limited(events: DataFrame, most: int = LIMIT, seconds: int = SECONDS) -> Dat
                 times = [t for t in times if t > at - seconds * 1000]
                 let.append(len(times) < most)
                 times += [at] * let[-1]
+                last = max(last, at)
             yield pd.DataFrame({"client": key[0], "ts": x["ts"], "allowed": let})
         state.update((times,))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return events.select("client", "ts").groupBy("client").applyInPandasWithState(
-        of_client, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timed = events.select("client", "ts").withWatermark("ts", late)
+    return timed.groupBy("client").applyInPandasWithState(of_client, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_links(items: DataFrame, days: int = 7) -> DataFrame:

@@ -1,0 +1,331 @@
+"""From feeds to published editions: accounts and pages against plain versions, sinks, streams."""
+
+import datetime as dt
+import json
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from broadsheet.functions import text
+from broadsheet.operators import accounts, clusters, edition, enrich, items, stories
+from broadsheet.plans import build
+from broadsheet.sources import feeds
+from broadsheet.streaming import notes
+
+AT = dt.datetime(2024, 3, 5, 12)
+SOURCES = {
+    "sources": [
+        {"id": "a", "outlet": "Alpha", "lean": "left", "camp": "left", "owner": "x", "beat": "nation", "scope": "national", "url": "u"},
+        {"id": "b", "outlet": "Beta", "lean": "right", "camp": "right", "owner": "x", "beat": "nation", "scope": "national", "url": "u"},
+        {"id": "c", "outlet": "Gamma", "lean": "center", "camp": "center", "owner": "x", "beat": "world", "scope": "national", "url": "u"},
+        {"id": "d", "outlet": "Delta", "lean": "local", "camp": "local", "owner": "x", "beat": "local", "scope": "local", "url": "u", "section": "local", "placeFilter": True},
+        {"id": "e", "outlet": "Alpha", "lean": "left", "camp": "left", "owner": "x", "beat": "nation", "scope": "state", "url": "u"},
+    ]
+}
+STORM = "Governor Maria Lopez ordered the evacuation of 1,200 people near Harbor Point on Monday. Officials said the river crossed 12 feet at Harbor Point."
+
+
+def rss(*entries):
+    one = "<item><title>{}</title><link>{}</link><description>{}</description><pubDate>Tue, 05 Mar 2024 {} GMT</pubDate></item>"
+    return "<rss>" + "".join(one.format(*e) for e in entries) + "</rss>"
+
+
+@pytest.fixture(scope="module")
+def raw(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("feeds")
+    (at / "sources.json").write_text(json.dumps(SOURCES))
+    (at / "in").mkdir()
+    (at / "in" / "a.xml").write_text(rss(
+        ("Governor Lopez orders evacuation near Harbor Point", "https://a.example/1?x=1", STORM, "10:00:00"),
+        ("Is this the end of everything?", "https://a.example/2", "Nothing much was said here today.", "10:00:00"),
+        ("Old news from a while ago today", "https://a.example/opinion/3", "Nothing much was said here today.", "10:00:00"),
+    ))
+    (at / "in" / "b.xml").write_text(rss(
+        ("Harbor Point evacuation ordered by Governor Lopez", "https://b.example/1", STORM.replace("Monday", "a stormy Monday"), "10:30:00"),
+        ("Senate SLAMS shocking budget plan again", "https://b.example/4/", "The Senate slams a plan. It was stark.", "09:00:00"),
+        ("Senate SLAMS shocking budget plan again", "https://b.example/4", "The Senate slams a plan. It was stark.", "09:00:00"),
+    ))
+    (at / "in" / "c.xml").write_text("<rss><item><title>Lopez evacuation of Harbor Point grows overnight</title><link>https://c.example/1</link><oops>")
+    (at / "in" / "d.xml").write_text(rss(
+        ("Nederland opens a new trail this week", "https://d.example/1", "The trail near Nederland opened to all.", "08:00:00"),
+        ("Somewhere else opens a new trail today", "https://d.example/2", "The trail opened to all who came.", "08:00:00"),
+    ))
+    sources = items.read_sources(spark, str(at / "sources.json"))
+    landed = feeds.read_feeds(spark, str(at / "in"), sources)
+    read = feeds.parse_feed(landed.where("error is null").select("source_id", "xml"))
+    return sources, landed, read
+
+
+def of_day(read, day=AT):
+    return read.withColumns({"edition_date": F.lit(day.date()), "now": F.lit(day)})
+
+
+def test_sources_and_newsrooms(spark, raw):
+    sources, landed, read = raw
+    assert [(r.id, r.source_ord, r.place_filter) for r in sources.orderBy("source_ord").collect()][3:] == [("d", 3, True), ("e", 4, None)]
+    rows = items.newsrooms(sources, feeds.feed_status(landed, read)).orderBy("source_ord").collect()
+    assert [(r.source_id, r.n_items, r.why) for r in rows] == [("a", 3, None), ("b", 3, None), ("c", 0, "nothing in the last three days"), ("d", 2, None), ("e", 0, "not fetched")]
+    missing = feeds.read_feeds(spark, "/nowhere/at/all", sources)
+    assert {r.error for r in missing.collect()} == {"not fetched"}
+
+
+def test_items_pass_the_filters_once(spark, raw):
+    sources, _, read = raw
+    got = items.prepare(of_day(read), sources).orderBy("source_ord", "item_ord").collect()
+    assert [r.link for r in got] == ["https://a.example/1?x=1", "https://b.example/1", "https://b.example/4/", "https://d.example/1"]
+    slam = got[2]
+    assert (slam.title_neutral, slam.heat, slam.pool, got[3].pool) == ("Senate criticizes budget plan again", 1 + 1 + 2 + 0, "main", "local")
+    assert "stark" not in slam.summary_text and "criticizes" in slam.summary_text
+    seen = spark.createDataFrame([(AT.date(), "https://b.example/4")], "edition_date date, link_key string")
+    assert items.prepare(of_day(read), sources, seen).count() == 3
+    assert items.prepare(of_day(read, AT + dt.timedelta(days=4)), sources).select("pool").distinct().collect()[0][0] == "local"
+
+
+def test_page_and_archive(spark, raw, tmp_path):
+    sources, _, read = raw
+    made = build.build(of_day(read), sources)
+    page = build.nested(made).orderBy("section_no", "place")
+    rows = page.collect()
+    assert [(r.section, r.place, r.source) for r in rows] == [("lead", 0, "Beta"), ("nation", 1, "Beta"), ("local", 0, "Delta")]
+    storm = rows[0]
+    assert storm.outlets == ["Alpha", "Beta"] and storm.camps == ["left", "right"] and storm.cloned_outlets == ["Alpha", "Beta"]
+    assert storm.sure == "some" and storm.verdict is None and storm.n_sources == 2 and storm.spread.left and not storm.spread.center
+    assert rows[2].verdict is None and storm.gist == storm.shared[0].text
+    told = build.publish(page, f"{tmp_path}/archive")
+    assert told["stories"] == 3
+    build.publish(page, f"{tmp_path}/archive")  # the same day again
+    archive = build.archived(spark, f"{tmp_path}/archive")
+    assert archive.count() == 3 and build.cached(spark, f"{tmp_path}/archive", "2024-03-05").count() == 3
+    assert build.cached(spark, f"{tmp_path}/archive", "2024-03-06") is None and build.archived(spark, f"{tmp_path}/none") is None
+    days = spark.createDataFrame([(AT.date() + dt.timedelta(days=k),) for k in (0, 1, 7, 8)], "edition_date date")
+    seen = build.seen_links(archive, days).groupBy("edition_date").count().collect()
+    assert {(r.edition_date - AT.date()).days: r["count"] for r in seen} == {1: 3, 7: 3}
+    assert len(json.loads(build.as_json(page).first().json)["coverage"]) == 2
+    assert [str(r.edition_date) for r in build.archive_days(archive).collect()] == ["2024-03-05"]
+    with pytest.raises(build.EmptyEdition):
+        build.publish(page.limit(0), f"{tmp_path}/archive")
+    html = spark.createDataFrame([('<a href="https://x.example/1/?a=1&amp;b" target="_blank">x</a><a href="y">',)], "html string")
+    assert [r.link_key for r in build.links_of_pages(html).collect()] == ["https://x.example/1"]
+
+
+def test_enrichment_keeps_failures_apart(spark, raw):
+    sources, _, read = raw
+    made = build.build(of_day(read), sources)
+    prompted = enrich.prompts(made.stories, accounts.coverage(made.items))
+    assert enrich.enrich(prompted).count() == 0
+
+    def client(prompt):
+        if "Nederland" in prompt:
+            raise ValueError("no")
+        return {"summary": "Calm — words", "verdict_key": "none", "verdict_title": "x", "tokens_in": 1_000_000, "tokens_out": 100_000}
+
+    got = enrich.enrich(prompted, client, at_once=2)
+    rows = {r.story_id: r for r in got.collect()}
+    bad = [r for r in rows.values() if r.error]
+    assert len(bad) == 1 and len(rows) == 3 and all(r.summary == "Calm, words" and r.verdict_key is None for r in rows.values() if not r.error)
+    assert enrich.usage(got).first()["cost"] == pytest.approx(2 * (4.0 + 2.0))
+
+
+# ---- accounts against plain versions
+
+
+def plain_terms(t):
+    import re
+
+    from broadsheet.functions.lexicons import TERM_STOP_WORDS
+
+    words = re.sub(r"[^a-z0-9$%.\s-]", " ", t.lower()).split()
+    return [w for w in (re.sub(r"^[.\-]+|[.\-]+$", "", w) for w in words) if len(w) > 3 and w not in TERM_STOP_WORDS]
+
+
+def plain_overlap(a, b):
+    return len(a & b) / min(len(a), len(b)) if a and b else 0
+
+
+def plain_five(t):
+    import re
+
+    w = re.sub(r"[^a-z0-9\s]", " ", t.lower()).split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def plain_account(headline, shown, covered, most=6, most_chars=1100):
+    """covered: (camp, outlet, headline, sentences) in order."""
+    order = ["center", "independent", "left", "right", "state"]
+    counts = {}
+    for _, _, title, _ in covered:
+        for t in set(plain_terms(title)):
+            counts[t] = counts.get(t, 0) + 1
+    twice = {t for t, n in counts.items() if n >= 2}
+    core = twice if len(twice) >= 2 else set(counts)
+    pools = sorted(covered, key=lambda c: order.index(c[0]) if c[0] in order else -1)
+    picked, seen, chars = [], [shown] if shown else [], 0
+    for turn in range(10):
+        for _, outlet, _, said in pools:
+            if turn >= len(said) or len(picked) >= most:
+                continue
+            s = said[turn]
+            own = set(plain_terms(s))
+            close = lambda x: plain_overlap(own, set(plain_terms(x))) > 0.45  # noqa: B023, E731
+
+            def again(x):
+                a, b = set(plain_terms(x)) - core, own - core  # noqa: B023
+                return plain_overlap(plain_five(x), plain_five(s)) > 0.3 or (min(len(a), len(b)) >= 3 and plain_overlap(a, b) > 0.5)  # noqa: B023
+
+            if s[0].islower() or s.split()[0].strip(",").lower() in ("and", "also", "meanwhile", "plus", "but"):
+                continue
+            if (turn > 1 and not own & core) or any(close(x) for x in (shown, headline) if x) or any(again(x) for x in seen):
+                continue
+            if chars + len(s) > most_chars and len(picked) >= 2:
+                continue
+            picked.append((s, outlet))
+            seen.append(s)
+            chars += len(s)
+    return picked
+
+
+def test_fuller_account_takes_turns(spark):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(60)]
+    sentence = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(7, 30))).capitalize() + "."
+    rows, want, heads = [], {}, []
+    for k in range(12):
+        covered = []
+        for n in range(rng.randrange(1, 6)):
+            said = [rng.choice([sentence(), "and " + sentence(), covered[0][3][0] if covered else sentence()]) for _ in range(rng.randrange(1, 12))]
+            title = " ".join(rng.choice(vocabulary[:12]) for _ in range(5))
+            covered.append((rng.choice(["left", "right", "center", "local", "state"]), f"o{n}", title, said))
+            rows.append((f"s{k}", n, f"o{n}", covered[-1][0], title, " ".join(said), None))
+        shown = rng.choice([None, covered[0][3][0]])
+        heads.append((f"s{k}", covered[0][2], shown))
+        want[f"s{k}"] = plain_account(covered[0][2], shown, covered)
+    schema = "story_id string, ord long, outlet string, camp string, title string, summary_text string, long_text string"
+    got = accounts.fuller_account(spark.createDataFrame(heads, "story_id string, headline string, shown string"), accounts.coverage(spark.createDataFrame(rows, schema)))
+    told = {k: [] for k in want}
+    for r in got.orderBy("story_id", "place").collect():
+        told[r.story_id].append((r.text, r.outlet))
+        assert r.paragraph == r.place // (3 if len(want[r.story_id]) > 4 else 2)
+    assert told == want and any(len(x) == 6 for x in want.values())
+
+
+def test_what_one_camp_alone_reports(spark):
+    rows = [
+        (1, "A", "left", "Mayor Ortega meets Delgado in Springfield", "Mayor Ortega met Ruth Delgado and gave $5 million to Springfield schools today. Ruth Delgado said the $5 million would help."),
+        (2, "B", "left", "Delgado deal in Springfield", "Ruth Delgado spoke to reporters in Springfield about the deal."),
+        (3, "C", "left", "Springfield waits for Delgado", "People in Springfield waited for news about Delgado for hours."),
+        (4, "D", "right", "Mayor Ortega speaks in Springfield", "Mayor Ortega spoke in Springfield about his plans for the town."),
+        (5, "E", "state", "Springfield and Xanadu", "Xanadu is far away from Springfield and from all the others."),
+    ]
+    schema = "ord long, outlet string, camp string, title string, summary_text string"
+    got = accounts.only_from(spark.createDataFrame(rows, schema).withColumn("story_id", F.lit("s"))).collect()
+    assert [(r.camp, r.outlets, r.terms, r.facts) for r in got] == [("left", ["A", "B", "C"], ["delgado", "ruth"], ["$5 million"])]
+    assert got[0].quote.outlet == "A" and got[0].quote.text.startswith("Mayor Ortega met")
+
+
+def plain_clusters(rows):
+    """Leader clustering in plain dictionaries over all groups: (ord, title, opening)."""
+    from broadsheet.functions.lexicons import STOP_WORDS
+    import re
+
+    tok = lambda t: [w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 3 and w not in STOP_WORDS]
+    docs = [tok(f"{t} {s}") for _, t, s in rows]
+    df = {}
+    for d in docs:
+        for w in set(d):
+            df[w] = df.get(w, 0) + 1
+    unit = lambda v: {k: x / (math.sqrt(sum(y * y for y in v.values())) or 1) for k, x in v.items()}
+    groups, out = [], {}
+    for (at, title, _), d in zip(rows, docs, strict=True):
+        v = unit({w: d.count(w) * math.log((len(docs) + 1) / (df[w] + 0.5)) for w in set(d)})
+        words, names = set(tok(title)), {w.lower() for w in re.findall(r"\b[A-Z][a-zA-Z]{2,}\b", title)} - set(STOP_WORDS)
+        best, score = None, 0
+        for g in groups:
+            c = unit(g["sum"])
+            s = sum(x * c.get(k, 0) for k, x in v.items())
+            vetoed = len(names) >= 2 and len(g["names"]) >= 2 and not names & g["names"]
+            if s > score and not vetoed and ((len(words & g["words"]) >= 2 and s >= 0.28) or s >= 0.45):
+                best, score = g, s
+        if best is None:
+            best = {"sum": {}, "words": set(), "names": set(), "id": len(groups)}
+            groups.append(best)
+        for k, x in v.items():
+            best["sum"][k] = best["sum"].get(k, 0) + x
+        best["words"] |= words
+        best["names"] |= names
+        out[at] = best["id"]
+    return out
+
+
+def test_clusters_against_plain_leaders(spark):
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [f"term{i}" for i in range(300)]
+    names = ["Lopez", "Ortega", "Harbor", "Delgado"]
+    title = lambda i: " ".join([*rng.sample(vocabulary[i * 17 % 280 : i * 17 % 280 + 16], 6), *rng.sample(names, rng.randrange(3))])
+    rows = [(i, title(i), " ".join(rng.sample(vocabulary[i * 17 % 280 :], 5)) + ".") for i in range(150)]
+    df = spark.createDataFrame([("p", *r) for r in rows], "pool string, ord long, title string, summary_text string")
+    got = {r.ord: r.cluster_id for r in clusters.cluster(df).collect()}
+    want = plain_clusters(rows)
+    assert got == want and 5 < len(set(want.values())) < 140
+
+
+def test_local_stories_fill_gaps(spark):
+    rows = [(AT.date(), i, f"s{i}", f"o{i}", "nation", i % 3 == 0, 50 - i, 0, []) for i in range(15)]
+    schema = "edition_date date, ord long, id string, source string, beat string, is_local boolean, weight long, ms long, names array<string>"
+    got = edition.select_edition(spark.createDataFrame(rows, schema)).collect()
+    local = [r.id for r in got if int(r.id[1:]) % 3 == 0]
+    assert len(local) <= 2 and len([r for r in got if r.section == "nation"]) <= 6
+
+
+# ---- small columns
+
+
+def test_display_columns(spark):
+    row = spark.range(1).select(
+        text.listed(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("three"),
+        text.listed(F.array(F.lit("a"))).alias("one"),
+        text.without_dashes(F.lit("a — b   c")).alias("dashes"),
+        text.edition_date(F.lit(dt.datetime(2025, 6, 3, 5)).cast("timestamp")).alias("day"),
+        text.long_date(F.lit(dt.date(2025, 6, 2))).alias("long"),
+        accounts.gist(F.lit(None), F.lit(""), F.lit("s")).alias("gist"),
+        accounts.flag(F.lit(None).cast("string"), F.lit("thin")).alias("flag"),
+        stories.worth_saying(F.array(F.lit("Only the left is running this."), F.lit("based on how the story was covered"), F.lit("x y")), F.lit("Only the left is running this")).alias("said"),
+    ).first()
+    assert (row.three, row.one, row.dashes, str(row.day), row.long) == ("a, b and c", "a", "a, b c", "2025-06-02", "Monday, June 2, 2025")
+    assert (row.gist, row.flag, row.said) == ("s", "Unconfirmed: one source, big claim", ["x y"])
+
+
+# ---- streams
+
+
+def test_notes_that_do_not_pass_are_told_why(spark):
+    rows = [
+        ('{"note": "fine story"}', "POST", "https://ok.example"), ('{"note": "x"}', "POST", "http://localhost:80"), ("{", "POST", "https://ok.example"),
+        ('{"note": "spam spam", "website": "w"}', "POST", "https://ok.example"), ('{"note": "fine story"}', "GET", ""), ('{"note": "fine story"}', "POST", "https://no.example"),
+        ("", "OPTIONS", ""),
+    ]
+    raw = spark.createDataFrame([(b, "c", AT, m, o) for b, m, o in rows], "body string, client string, ts timestamp, method string, origin string")
+    allowed = ["https://ok.example"]
+    assert [r.note for r in notes.accepted(raw, allowed).collect()] == ["fine story"]
+    told = sorted((r.status, r.reason) for r in notes.rejected(raw, allowed).collect())
+    assert told == [(200, "hidden"), (204, "preflight"), (400, "body"), (400, "empty"), (403, "origin"), (405, "method")]
+
+
+def test_limits_refuse_and_links_come_once(spark, tmp_path):
+    events = [("c", AT + dt.timedelta(seconds=k)) for k in (0, 1, 2, 3, 4, 5, 61, 62)] + [("d", AT)]
+    spark.createDataFrame(events, "client string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("client string, ts timestamp").parquet(f"{tmp_path}/in")
+    q = notes.limited(stream).writeStream.format("memory").queryName("limits").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("limits").where("client = 'c'").orderBy("ts").collect()
+    assert [r.allowed for r in got] == [True] * 5 + [False, True, True]
+    links = [("k", AT), ("k", AT + dt.timedelta(days=2)), ("l", AT)]
+    spark.createDataFrame(links, "link_key string, ts timestamp").write.parquet(f"{tmp_path}/links")
+    seen = notes.first_links(spark.readStream.schema("link_key string, ts timestamp").parquet(f"{tmp_path}/links"))
+    days = notes.by_edition(seen.withColumn("edition_date", F.to_date("ts")), f"{tmp_path}/out", f"{tmp_path}/state")
+    days.awaitTermination()
+    assert sorted(r.link_key for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["k", "l"]
