@@ -7,7 +7,9 @@ summed by source and hash bucket, the bucket where the budget runs out is found
 and only that bucket is divided again. No documents are sorted and no rows move but those of boundary buckets.
 
 Null text: size 0, nothing taken. Null source: a source of its own, last in order. Rows that repeat in all of
-doc_id and text share a hash and are taken or left together. Empty table: no rows.
+doc_id and text share a hash and are taken or left together. Ties at a threshold: documents of one key go together. Texts
+of any length: only their word counts move. Empty table: no rows. `mix` keeps the columns of its input, whatever their
+names. Sources are ordered in one window, one row a source; a corpus has thousands of them at most, not millions.
 """
 
 from __future__ import annotations

@@ -148,3 +148,63 @@ kept as (select doc_id, string_agg(x, ' ' order by i) as k, count(*) as n from w
 select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256
 from d left join kept using (doc_id)""",
 }
+
+_SPACE = r"\x20\x09-\x0D"
+#: Measure -> part and whole in the SQL below, ranks, least distance and reach.
+_MEASURES = {
+    "symbols": ("n_symbols", "word_chars", 250, 750, 4, 6),
+    "capitals": ("capitals", "word_chars", 250, 750, 4, 6),
+    "stress": ("stress", "word_chars", 250, 750, 4, 6),
+    "same_lines": ("n_dup_lines", "n_lines", 500, 980, 20, 3),
+    "repeated": ("n_repeat_words", "n_words", 500, 980, 20, 3),
+}
+
+
+def _quality_sql() -> str:
+    shares = ", ".join(
+        f"case when {whole} = 0 then 0 else floor(1000.0 * {part} / {whole})::int end as m_{m}" for m, (part, whole, *_) in _MEASURES.items()
+    )
+    lists = ", ".join(f"list_sort(list(m_{m})) as s_{m}" for m in _MEASURES)
+    at = lambda m, q: f"s_{m}[(n * {q} + 999) // 1000]"
+    fences = ", ".join(
+        f"({at(m, hi)} + {reach} * greatest({at(m, hi)} - {at(m, lo)}, {least}))::double as f_{m}" for m, (_, _, lo, hi, least, reach) in _MEASURES.items()
+    )
+    group = lambda by: f"select {by + ', ' if by else ''}n, {fences} from (select {by + ', ' if by else ''}count(*) as n, {lists} from good {'group by ' + by if by else ''})"
+    one = lambda m: f"(l.n * l.f_{m} + 200 * c.f_{m}) / (l.n + 200.0)"
+    two = lambda m: f"(o.n * o.f_{m} + 200 * {one(m)}) / (o.n + 200.0)"
+    within = " and ".join(f"m_{m} <= coalesce(least(c.f_{m}, {one(m)}, {two(m)}), 1000)" for m in _MEASURES)
+    columns = ", ".join(["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *[f"m_{m}" for m in _MEASURES]])
+    return rf"""
+with d as (select doc_id, lang, source, coalesce(text, '') as text, {_WORDS.format("text")} as w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) as ls from documents),
+tri as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+win as (select doc_id, i, count(*) over (partition by doc_id, s) as n from tri),
+rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 3)) as p from win where n > 1) group by 1),
+c as (select d.doc_id, lang, source, len(w) as n_words, length(regexp_replace(text, '[{_SPACE}]+', '', 'g')) as word_chars, len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+  length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as capitals,
+  length(text) - length(translate(text, '!?', '')) as stress, coalesce(rep.n, 0) as n_repeat_words from d left join rep on rep.doc_id = d.doc_id),
+m as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {shares} from c),
+good as (select * from m where not base_failed), corpus as ({group('')}), language as ({group('lang')}), own as ({group('lang, source')})
+select {columns}, not base_failed and {within} as kept from m cross join corpus c left join language l on l.lang is not distinct from m.lang
+left join own o on o.lang is not distinct from m.lang and o.source is not distinct from m.source"""
+
+
+def _license_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = []
+    for name, template in licenses.TEMPLATES:
+        words = licenses.tokens(template)
+        threes = sorted({" ".join(words[i : i + 3]) for i in range(len(words) - 2)})
+        rows += [f"({quoted(name)}, {-(-len(words) * 5 // 4)}, {len(threes)}, {quoted(x)})" for x in threes]
+    return f"""
+with t(name, reach, n, s) as (values {", ".join(rows)}),
+d as (select doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents),
+g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+hit as (select doc_id, name, reach, n, i, s from g join t using (s)),
+held as (select a.doc_id, a.name from hit a join hit b on a.doc_id = b.doc_id and a.name = b.name and b.i between a.i and a.i + a.reach - 3
+  group by a.doc_id, a.name, a.i, a.n having count(distinct b.s) >= 0.8 * a.n),
+names as (select doc_id, count(*) as k, string_agg(name, ',' order by name) as names from (select distinct doc_id, name from held) group by 1)
+select d.doc_id, coalesce(k, 0) as n_licenses, coalesce(names, '') as licenses from d left join names on names.doc_id = d.doc_id"""
+
+
+ORACLES |= {"op5_quality_rules": _quality_sql(), "op9_license_scans": _license_sql()}
