@@ -103,9 +103,9 @@ def _stripped(column: str) -> str:
         steps += [f"replace(t, '{a}', '{b}')" for a, b in _ROUND]
         steps += [f"regexp_replace(t, '(?is){p}', ' ', 'g')" for p in ("<script.*?</script>", "<style.*?</style>", "<[^>]*>")]
     steps += [
-        "regexp_replace(t, '(?i)&[a-z]+;', ' ', 'g')", "replace(replace(t, chr(8216), ), chr(8217), )",
-        "replace(replace(t, chr(8220), '\"'), chr(8221), '\"')", rf"regexp_replace(t, '\(\s+', '(', 'g')", rf"regexp_replace(t, '\s+\)', ')', 'g')",
-        rf"regexp_replace(t, '\s+([,.;:!?])', '\1', 'g')", rf"regexp_replace(t, '[\s\x{{0b}}\x{{a0}}]+', ' ', 'g')", "trim(t)",
+        "regexp_replace(t, '(?i)&[a-z]+;', ' ', 'g')", "replace(replace(t, chr(8216), chr(39)), chr(8217), chr(39))",
+        "replace(replace(t, chr(8220), chr(34)), chr(8221), chr(34))", r"regexp_replace(t, '\(\s+', '(', 'g')", r"regexp_replace(t, '\s+\)', ')', 'g')",
+        r"regexp_replace(t, '\s+([,.;:!?])', '\1', 'g')", r"regexp_replace(t, '[\s\x{0b}\x{a0}]+', ' ', 'g')", "trim(t)",
     ]
     for step in steps:
         column = step.replace("(t,", f"({column},", 1).replace("(t)", f"({column})", 1)
