@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, mixing, near_dedup, pii, quality, secrets, substring, suffixes
+from . import bpe, infilling, licenses, media, mixing, near_dedup, pii, quality, secrets, substring, suffixes, token_counts
 from .shared import cut, small_batches
 
 
@@ -109,6 +109,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    small_batches(spark)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    return token_counts.count(documents(spark, sf_dir).select("doc_id", "text"), tokenizer, spaced=True)
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    made = infilling.transform(documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infilling.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -120,6 +143,8 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_license_scans": op9_license_scans,
     "op10_mixing": op10_mixing,
+    "op11_token_counts": op11_token_counts,
+    "op13_infilling": op13_infilling,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -207,4 +232,19 @@ names as (select doc_id, count(*) as k, string_agg(name, ',' order by name) as n
 select d.doc_id, coalesce(k, 0) as n_licenses, coalesce(names, '') as licenses from d left join names on names.doc_id = d.doc_id"""
 
 
+def _infilling_sql() -> str:
+    draw = lambda k: f"('0x' || substr(hash, {8 * k + 1}, 8))::bigint"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as hash from documents),
+h as (select *, {draw(0)} % (n + 1) as x, {draw(1)} % (n + 1) as y, {draw(2)} as h3, {draw(3)} as h4 from d),
+f as (select doc_id, text, n, least(x, y) as a, greatest(x, y) as b, case
+  when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+  when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substr(text, 1, a) as prefix, substr(text, a + 1, b - a) as middle, substr(text, b + 1) as suffix from f)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+  else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+
+ORACLES |= {"op13_infilling": _infilling_sql()}
 ORACLES |= {"op5_quality_rules": _quality_sql(), "op9_license_scans": _license_sql()}
