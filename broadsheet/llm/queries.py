@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, infilling, licenses, media, mixing, near_dedup, pii, quality, secrets, substring, suffixes, token_counts
+from . import bpe, collocations, infilling, licenses, media, mixing, near_dedup, pii, quality, secrets, substring, suffixes, token_counts
 from .shared import cut, small_batches
 
 
@@ -118,6 +118,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(documents(spark, sf_dir).select("doc_id", "text"), tokenizer, spaced=True)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return collocations.mine(documents(spark, sf_dir).select("text", "lang"))
+
+
 def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     made = infilling.transform(documents(spark, sf_dir).select("doc_id", "text"))
@@ -144,6 +149,7 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_mixing": op10_mixing,
     "op11_token_counts": op11_token_counts,
+    "op12_collocations": op12_collocations,
     "op13_infilling": op13_infilling,
 }
 
@@ -246,5 +252,25 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
   else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from p"""
 
 
+_COLLOCATIONS = """
+with recursive d as (select doc_id, coalesce(lang, 'und') as lang, string_split(regexp_replace(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10)) as ps from documents),
+p as (select lang, list_filter(regexp_split_to_array(unnest(ps), '[ \x09]+'), lambda x: x <> '') as w from d),
+g as (select lang, k, i, array_to_string(w[i:i + k - 1], ' ') as s from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, range(1, 5) t(k))),
+f as (select lang, k, s, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
+c as (select lang, k, s, f as a, string_split(s, ' ') as w from f where k > 1 and f >= 30),
+cuts as (select lang, k, s, a, j, array_to_string(w[1:j], ' ') as x, array_to_string(w[j + 1:k], ' ') as y from (select *, unnest(range(1, k)) as j from c)),
+scored as (select c.lang, c.k, c.s, a, l.f as l, r.f as r, ((2000000::hugeint * a) // (l.f + r.f))::bigint as score, j from cuts c
+  join f l on l.lang = c.lang and l.s = x and l.k = j join f r on r.lang = c.lang and r.s = y and r.k = c.k - j),
+least as (select * from scored qualify row_number() over (partition by lang, s order by score, j) = 1),
+inner_ as (select lang, a, m, array_to_string(w[i:i + m - 1], ' ') as s from (select lang, a, w, k, m, unnest(range(1, k - m + 2)) as i from c, range(2, 4) t(m) where m < k)),
+most as (select lang, s, max(a) as most from inner_ group by all),
+left_ as (select lang, s, a, l, r, score from least anti join (select lang, s from least join most using (lang, s) where 100::hugeint * most >= 80::hugeint * a) using (lang, s)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(s)) as rank from left_)
+select lang, rank, s as phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000"""
+
+
+ORACLES |= {"op12_collocations": _COLLOCATIONS}
 ORACLES |= {"op13_infilling": _infilling_sql()}
 ORACLES |= {"op5_quality_rules": _quality_sql(), "op9_license_scans": _license_sql()}
