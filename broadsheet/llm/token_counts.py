@@ -2,10 +2,11 @@
 
 Texts are cut into pre-tokens by the tokenizer's own normalizer and pre-tokenizer. Documents are taken together in
 blocks of bounded size; a block holds its distinct pre-tokens once and for each document the frequency of each of them,
-as numbers into that list. Every distinct pre-token of the corpus then meets the tokenizer's model once, which says into
-how many pieces it falls; a join brings these numbers back to the lists of the blocks, and a document's count is the sum
-of frequency times pieces. Ids are never made, and what is shuffled is the lists of the blocks, not the words of the
-documents. A very common pre-token has one row for each block, however many texts it fills.
+as numbers into that list. The lists of all blocks are dealt out by pre-token and sorted, so that every distinct
+pre-token of the corpus meets the tokenizer's model once, which says into how many pieces it falls; these numbers go
+back to the blocks, packed by block, and a document's count is the sum of frequency times pieces. Ids are never made,
+and what is shuffled is the lists of the blocks, not the words of the documents. A very common pre-token has one row for
+each block, however many texts it fills, so no key holds more than one row in as many as a block has pre-tokens.
 
 Strings of special tokens inside a text count one token each, as the tokenizers library takes them by default. Blocks
 are written to the shared folder before they are joined, so a lost executor never sends texts through the cut again.
@@ -17,12 +18,12 @@ block of its own. Columns of the input but the text stay, whatever their names,
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,8 +33,11 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from .shared import back, cut
 
 #: A block ends with the document that reaches either.
-BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 4096
-CACHED_STRETCHES = 300_000
+BLOCK_BYTES, BLOCK_DOCS = 32 << 20, 1 << 16
+#: So many stretches between white space are cut by one call, and so many counts go back to the blocks together.
+TOGETHER, SENT = 256, 1 << 20
+#: A place is one number: a task, a block of it, and a pre-token of that.
+BLOCK_BITS, AT_BITS = 12, 27
 #: Documents of more tokens are marked as over the limit.
 LIMIT = 2048
 
@@ -50,20 +54,32 @@ class PreTokens:
             raise ValueError("special tokens that depend on what stands beside them are not supported")
         names = sorted((re.escape(t.content) for t in added), key=len, reverse=True)
         self.special = re.compile("|".join(names)) if names else None
-        self.known: dict[bytes, tuple[list[str], int]] = {}
+        self.other_space = re.compile(r"[^\S ]")
 
-    def of(self, stretch: bytes) -> tuple[list[str], int]:
+    def of(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens in order, and the number of special tokens."""
-        found = self.known.get(stretch)
-        if found is None:
-            text = stretch.decode()
-            parts = self.special.split(text) if self.special else [text]
-            found = [p for part in parts if part for p in self._cut(part)], len(parts) - 1
-            if len(stretch) <= 64:
-                if len(self.known) >= CACHED_STRETCHES:
-                    self.known.clear()
-                self.known[stretch] = found
-        return found
+        parts = self.special.split(text) if self.special else [text]
+        return [p for part in parts if part for p in self._cut(part)], len(parts) - 1
+
+    def of_each(self, stretches: list[str]) -> Iterator[tuple[list[str], int]]:
+        """The same for stretches without ASCII white space, cut many at a time with a space between them."""
+        for at in range(0, len(stretches), TOGETHER):
+            some = stretches[at : at + TOGETHER]
+            text = " ".join(some)
+            plain = not self.other_space.search(text) and not (self.special and self.special.search(text))
+            if plain:
+                before, by = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+                text = before.normalize_str(text) if before else text
+                spaces = [k for k, c in enumerate(text) if c == " "]
+                plain = len(spaces) == len(some) - 1 and by is not None
+            if not plain:
+                yield from map(self.of, some)
+                continue
+            found: list[list[str]] = [[] for _ in some]
+            for piece, (start, _) in by.pre_tokenize_str(text):
+                found[bisect(spaces, start)].append(piece)
+            for pieces in found:
+                yield pieces, 0
 
     def _cut(self, text: str) -> list[str]:
         before, by = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -79,6 +95,15 @@ def _pre_tokens(key: int, shared) -> PreTokens:
     return PreTokens(shared.value)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Small whole numbers so that they compress well: their lowest bytes first, then the next ones."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def frequencies(raws: list[bytes], cutter: PreTokens, spaced: bool) -> dict:
     """A block: distinct pre-tokens, and for each text its special tokens and the frequencies of its pre-tokens."""
     number: dict[bytes, int] = {}
@@ -89,9 +114,9 @@ def frequencies(raws: list[bytes], cutter: PreTokens, spaced: bool) -> dict:
         stretches += [number.setdefault(s, len(number)) for s in seen]
         times += seen.values()
     of, places, special, each = {}, [], np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    for k, s in enumerate(number):
-        pre, special[k] = cutter.of(s)
-        each[k] = len(pre)
+    texts = [s.decode() for s in number]
+    for k, (pre, n) in enumerate(cutter.of_each(texts) if spaced else map(cutter.of, texts)):
+        special[k], each[k] = n, len(pre)
         places += [of.setdefault(p, len(of)) for p in pre]
     stretch, time = np.array(stretches, np.int64), np.array(times, np.int64)
     doc = np.repeat(np.arange(len(raws)), per)
@@ -106,7 +131,20 @@ def frequencies(raws: list[bytes], cutter: PreTokens, spaced: bool) -> dict:
     pairs, at = np.unique(key, return_inverse=True)
     sums = np.bincount(at, np.repeat(time, many), len(pairs)).astype(np.int64)
     docs, words = pairs // max(1, len(of)), pairs % max(1, len(of))
-    return {"words": list(of), "special": n_special, "per": np.bincount(docs, minlength=len(raws)), "places": words.astype("<u4"), "times": sums.astype("<u4")}
+    return {"words": list(of), "special": n_special, "per": np.bincount(docs, minlength=len(raws)), "places": words, "times": sums}
+
+
+def _gaps(places: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Places that rise within each document, as the first of each and what each adds to the one before."""
+    gaps = np.diff(places, prepend=0)
+    first = (np.cumsum(per) - per)[per > 0]
+    gaps[first] = places[first]
+    return gaps
+
+
+def _places(gaps: np.ndarray, per: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(gaps)])
+    return sums[1:] - np.repeat(sums[np.cumsum(per) - per], per)
 
 
 def count(
@@ -134,14 +172,16 @@ def count(
         rows, raws, size = [], [], 0
 
         def block() -> pa.RecordBatch:
+            if k >= 1 << BLOCK_BITS:
+                raise ValueError("a partition holds too much text: read it in more partitions")
             found = frequencies(raws, cutter, spaced)
             kept = pa.concat_arrays(rows)
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([task << 32 | k], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
+                    pa.array([task << BLOCK_BITS | k], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
                     one(list(map(len, raws)), pa.int64()), one(found["special"], pa.int64()), one(found["per"].astype(np.int32), pa.int32()),
-                    pa.array([found["places"].tobytes()], pa.binary()), pa.array([found["times"].tobytes()], pa.binary()), one(found["words"], pa.string()),
+                    *[pa.array([packed(x)], pa.binary()) for x in (_gaps(found["places"], found["per"]), found["times"])], one(found["words"], pa.string()),
                 ],
                 ["block", "docs", "n_bytes", "special", "per", "places", "times", "words"],
             )
@@ -160,10 +200,33 @@ def count(
         if raws:
             yield block()
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter = _pre_tokens(id(shared), shared)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """word (sorted), place -> block, and packed for each block numbers of its pre-tokens and their pieces."""
+        cutter, word, n, places, counts = _pre_tokens(id(shared), shared), None, 0, [], []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            place, count = np.array(places, np.int64), np.array(counts, np.int64)
+            order = np.argsort(place)
+            place, count = place[order], count[order]
+            block, at = place >> AT_BITS, place & ((1 << AT_BITS) - 1)
+            ids, first = np.unique(block, return_index=True)
+            for k in range(0, len(ids), 1024):
+                ends = [*first[k + 1 : k + 1025], len(block)][: len(ids[k : k + 1024])]
+                spans = list(zip(first[k : k + 1024].tolist(), ends, strict=True))
+                held = [pa.array([packed(x[a:b]) for a, b in spans], pa.binary()) for x in (at, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 1024], pa.int64()), *held], ["block", "at", "n"])
+
         for batch in batches:
-            yield batch.assign(n=[cutter.pieces(w) for w in batch["word"]])
+            for w, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if w != word:
+                    word, n = w, cutter.pieces(w)
+                places.append(place)
+                counts.append(n)
+            if len(places) >= SENT:
+                yield from sent()
+                places, counts = [], []
+        if places:
+            yield from sent()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,22 +234,21 @@ def count(
                 row = {c: batch.column(c).slice(k, 1) for c in batch.schema.names}
                 size = row["n_bytes"].flatten()
                 per = row["per"].flatten().to_numpy()
-                found = row["found"].flatten()
-                weight = np.zeros(len(found), np.int64)
-                if len(found):
-                    weight[found.field("at").to_numpy()] = found.field("n").to_numpy()
-                places, times = (np.frombuffer(row[c][0].as_py(), "<u4").astype(np.int64) for c in ("places", "times"))
-                sums = np.concatenate([[0], np.cumsum(weight[places] * times)])
+                weight = np.zeros(row["n_words"][0].as_py(), np.int64)
+                for some in row["found"][0].as_py() or ():
+                    weight[unpacked(some["at"])] = unpacked(some["n"])
+                places, times = (unpacked(row[c][0].as_py()) for c in ("places", "times"))
+                sums = np.concatenate([[0], np.cumsum(weight[_places(places, per)] * times)])
                 end = np.cumsum(per, dtype=np.int64)
                 tokens = sums[end] - sums[end - per] + row["special"].flatten().to_numpy()
                 yield pa.RecordBatch.from_arrays([row["docs"].flatten(), size, pa.array(tokens, pa.int64())], ["_doc", "n_bytes", "n_tokens"])
 
     cut_blocks = cut(given.mapInArrow(blocks, schema), "token-blocks")
     lists = cut_blocks.select("block", F.posexplode("words").alias("at", "word"))
-    weights = lists.select("word").distinct().mapInPandas(pieces, "word string, n long")
-    found = lists.join(weights, "word").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))
-    joined = cut_blocks.drop("words").join(found, "block", "left")
-    joined = joined.withColumn("found", F.coalesce("found", F.array().cast("array<struct<at: int, n: bigint>>")))
+    placed = lists.select("word", (F.shiftleft("block", AT_BITS) + F.col("at")).alias("place"))
+    weights = placed.repartition("word").sortWithinPartitions("word").mapInArrow(pieces, "block long, at binary, n binary")
+    found = weights.groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    joined = cut_blocks.withColumn("n_words", F.size("words")).drop("words").join(found, "block", "left")
     counted = joined.mapInArrow(summed, summed_schema)
     left = docs.select(*rest)
     return back(counted, left, n_bytes=F.col("n_bytes"), n_tokens=F.col("n_tokens"), over_limit=F.col("n_tokens") > limit)

@@ -55,6 +55,8 @@ def test_each_distinct_pre_token_meets_the_model_once(spark):
     found = token_counts.frequencies([b"The the THE cat's", b"", b"the<|endoftext|>cat"], cutter, True)
     assert found["words"] == ["the", "cat", "'s"]
     assert found["places"].tolist() == [0, 1, 2, 0, 1] and found["times"].tolist() == [3, 1, 1, 1, 1]
+    gaps = token_counts.unpacked(token_counts.packed(token_counts._gaps(found["places"], found["per"])))
+    assert token_counts._places(gaps, found["per"]).tolist() == found["places"].tolist()
     assert found["per"].tolist() == [3, 0, 2] and found["special"].tolist() == [0, 0, 1]
 
 
@@ -82,3 +84,18 @@ def test_query(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in got.collect()} == want
     assert any(n > 2048 for n in want.values())
     assert all(r.over_limit == (want[r.doc_id] > 2048) for r in got.collect())
+
+
+def test_stretches_are_cut_alike_alone_and_together():
+    cutter = token_counts.PreTokens(vocabulary())
+    stretches = sorted({s.decode() for t in given() for s in (t or "").encode().split()})
+    assert list(cutter.of_each(stretches)) == [cutter.of(s) for s in stretches]
+    assert list(cutter.of_each([s for s in stretches if s.isascii() and "<|" not in s])) == [cutter.of(s) for s in stretches if s.isascii() and "<|" not in s]
+
+
+def test_counts_go_back_to_blocks_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "SENT", 5)
+    some = given()
+    library = Tokenizer.from_str(vocabulary())
+    found = {r.doc_id: r.n_tokens for r in token_counts.count(table(spark, some), vocabulary(), spaced=True, block_docs=9).collect()}
+    assert found == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(some)}
