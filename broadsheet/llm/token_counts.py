@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from .shared import back, cut
 
 #: A block ends with the document that reaches either.
-BLOCK_BYTES, BLOCK_DOCS = 32 << 20, 1 << 16
+BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 1 << 16
 #: So many stretches between white space are cut by one call, and so many counts go back to the blocks together.
 TOGETHER, SENT = 256, 1 << 20
 #: A place is one number: a task, a block of it, and a pre-token of that.
