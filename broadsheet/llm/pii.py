@@ -4,14 +4,18 @@ Patterns find e-mail addresses, IP addresses, payment cards and phone numbers: t
 give an entity away: where most texts that hold a word hold one entity, reading the word tells the entity. The corpus
 measures that:
 
-1. Candidates: for each entity, the CONTEXT words before it and behind it, however far, and in how many different contexts. Nearness only
-   chooses pairs (word, entity); a word that is never near an entity is no candidate for it.
-2. For candidates, how many different texts hold the word anywhere, and how many of those hold the entity anywhere.
+1. Candidates: every word of a text that holds an entity, however far from it, as long as it can still disclose one: an
+   entity that H texts hold is disclosed by no word of more than H / GENERALISE texts. Such words go before pairs form,
+   first by the texts with entities alone, then by all texts.
+2. For candidates, how many different texts hold the word anywhere, and how many of those hold the entity as well.
 3. disclosure = P(entity | word), and bits = log2 P(entity | word) / P(entity), over different texts. A word of at least
    MIN_BITS bits is generalised from GENERALISE on and removed from REMOVE on, wherever it stands.
 4. A pair counts if the lower bound of Wilson's interval for disclosure, one-sided with Z, is at least CONFIDENT. Its
-   successes are different contexts, so copies of one text are one success; its failures are texts with the word alone.
-   Two different contexts without a failure are enough (0.55), one is not (0.38).
+   successes are texts with both, but no more than the different contexts (CONTEXT words before and behind) in which
+   those texts hold the entity, so copies with small changes elsewhere are one success; its failures are texts with the
+   word alone. Two successes without a failure are enough (0.55), one is not (0.38).
+
+A word inside an entity is no evidence about it, but its text counts as one that holds the word.
 
 Words that step 2 need not look at are passed over by a bit map of BITS bits, of the same size for any corpus; a full
 map only lets more words through to the exact join. Counts and joins are keyed by a hash of the text, so that rows
@@ -114,13 +118,13 @@ def _key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def evidence(docs: DataFrame) -> DataFrame:
-    """entity, term, bit, context, key: each word near an entity, once for each context and text.
+SEEN = "key long, entity long, context long, term string, bit long"
 
-    An entity without words near it has one row with a null term, since its text holds it all the same.
-    """
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def evidence(docs: DataFrame) -> DataFrame:
+    """For texts that hold an entity: rows (key, entity, context) of their entities, rows (key, term, bit) of their words."""
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = []
             for key, text in zip(x["key"], x["text"], strict=True):
@@ -133,21 +137,17 @@ def evidence(docs: DataFrame) -> DataFrame:
                     plain[s:e] = " " * (e - s)
                 found = [(m.start(), m[0].lower()) for m in _TERM.finditer("".join(plain))]
                 starts = [at for at, _ in found]
+                held_here = set()
                 for span in spans:
                     at = bisect_left(starts, span[0])  # no word begins inside an entity
-                    words = [w for _, w in found[max(0, at - CONTEXT) : at + CONTEXT]]
-                    context = _signed(hash_of(" ".join(words)))
-                    entity = _signed(hash_of(_entity(text, span)))
-                    rows += [(entity, w, hash_of(w) % BITS, context, key) for w in set(words)] or [(entity, None, 0, context, key)]
-            yield pd.DataFrame(rows, columns=["entity", "term", "bit", "context", "key"]).astype(
-                {"term": object, "entity": "int64", "bit": "int64", "context": "int64", "key": "int64"}
-            )
-
-    return (
-        docs.select(_key().alias("key"), "text")
-        .mapInPandas(near, "entity long, term string, bit long, context long, key long")
-        .distinct()
-    )
+                    near = " ".join(w for _, w in found[max(0, at - CONTEXT) : at + CONTEXT])
+                    held_here.add((_signed(hash_of(_entity(text, span))), _signed(hash_of(near))))
+                rows += [(key, entity, context, None, None) for entity, context in held_here]
+                rows += [(key, None, None, w, hash_of(w) % BITS) for w in {w for _, w in found}]
+            out = pd.DataFrame(rows, columns=["key", "entity", "context", "term", "bit"], dtype=object)
+            yield out.astype({"key": "int64", "entity": "Int64", "context": "Int64", "bit": "Int64"})
+
+    return docs.select(_key().alias("key"), "text").mapInPandas(held, SEEN).distinct()
 
 
 def hash_of(word: str) -> int:
@@ -201,34 +201,29 @@ def _lower(successes: Column, failures: Column) -> Column:
 def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, disclosure, bits) of the words that give an entity away, and their postings (term, key)."""
     seen = cut(evidence(docs), "pii-evidence")
-    near = seen.where("term is not null")
-    holding = cut(seen.select("entity", "key").distinct(), "pii-holding")
-    of_entity = holding.groupBy("entity").agg(F.count("*").alias("holders"))
-    pairs = (
-        near.groupBy("entity", "term", "bit")
-        .agg(F.count_distinct("context").alias("contexts"))
-        .where(_lower(F.col("contexts"), F.lit(0)) >= CONFIDENT)
-        .join(of_entity, "entity")
-    )
-    # a word stands in at least the texts that have it next to some entity: where those are too many, so are all
-    anywhere = near.groupBy("term").agg(F.count_distinct("key").alias("_near"))
-    pairs = cut(pairs.join(anywhere, "term").where(F.col("holders") >= GENERALISE * F.col("_near")).drop("_near"), "pii-open")
-    candidates = pairs.select("term", "bit").distinct()
+    entities = seen.where("entity is not null").select("entity", "context", "key")
+    enough = lambda successes: _lower(successes, F.lit(0)) >= CONFIDENT
+    of_entity = entities.groupBy("entity").agg(F.count_distinct("key").alias("holders"), F.count_distinct("context").alias("_contexts"))
+    of_entity = of_entity.where(enough(F.least("holders", "_contexts"))).drop("_contexts")
+    holding = cut(entities.join(of_entity, "entity"), "pii-holding")
+    most = holding.groupBy("key").agg(F.max("holders").alias("most"))
+    near = cut(seen.where("term is not null").select("term", "bit", "key").join(most, "key"), "pii-near")
+    # a word stands in at least the texts that hold it beside some entity: where those are too many, so are all
+    beside = near.groupBy("term", "bit").agg(F.count("*").alias("_near"), F.max("most").alias("most"))
+    candidates = cut(beside.where(enough(F.col("_near")) & (F.col("most") >= GENERALISE * F.col("_near"))).drop("_near"), "pii-open")
     held = cut(postings(docs, candidates), "pii-postings")
-    of_term = held.groupBy("term").agg(F.count("*").alias("texts"))
+    of_term = held.groupBy("term").agg(F.count("*").alias("texts")).join(candidates, "term")
+    of_term = of_term.where(F.col("most") >= GENERALISE * F.col("texts")).select("term", "texts")
     # no more texts can hold both than hold the entity
-    pairs = cut(pairs.join(of_term, "term").where(F.col("holders") >= GENERALISE * F.col("texts")), "pii-pairs")
-    together = (
-        pairs.select("entity", "term")
-        .join(held, "term")
-        .join(holding, ["entity", "key"], "left_semi")
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("together"))
-    )
+    pairs = near.select("term", "key").join(of_term, "term").join(holding, "key").where(F.col("holders") >= GENERALISE * F.col("texts"))
+    together = pairs.groupBy("entity", "term").agg(
+        F.count_distinct("key").alias("together"), F.count_distinct("context").alias("contexts"),
+        F.first("texts").alias("texts"), F.first("holders").alias("holders"),
+    )
     total = docs.select(_key().alias("key")).distinct().agg(F.count("*").alias("total"))
     failures = F.col("texts") - F.col("together")
     measured = (
-        pairs.join(together, ["entity", "term"]).join(F.broadcast(total))  # one row
+        together.join(F.broadcast(total))  # one row
         .where(_lower(F.least("contexts", "together"), failures) >= CONFIDENT)
         .withColumn("disclosure", F.col("together") / F.col("texts"))
         .withColumn("bits", F.log2(F.col("disclosure") * F.col("total") / F.col("holders")))

@@ -170,7 +170,7 @@ def personal(text):
 def disclosed(texts):
     """term -> disclosure, counted text by text in plain sets."""
     texts = {t or "" for t in texts}
-    contexts, holding, where = defaultdict(set), defaultdict(set), defaultdict(set)
+    contexts, both, holding, where = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
     for t in texts:
         spans = personal(t)
         plain = list(t)
@@ -180,17 +180,18 @@ def disclosed(texts):
         for m in re.finditer(r"[^\W\d_]{3,}", t):
             where[m[0].lower()].add(t)
         for s, k, e in spans:
-            value = t[s:e].lower() if k < 2 else re.sub("[^0-9]", "", t[s:e])
-            holding[k, value].add(t)
+            entity = k, t[s:e].lower() if k < 2 else re.sub("[^0-9]", "", t[s:e])
+            holding[entity].add(t)
             before, after = [w for at, w in words if at < s][-6:], [w for at, w in words if at >= e][:6]
-            for w in {*before, *after}:
-                contexts[(k, value), w].add(" ".join(before + after))
+            for _, w in words:
+                contexts[entity, w].add(" ".join(before + after))
+                both[entity, w].add(t)
     out = {}
     lower = lambda good, bad: (
         (p := good / (good + bad)) + (z := 1.2816**2) / (2 * (n := good + bad)) - 1.2816 * (p * (1 - p) / n + z / (4 * n * n)) ** 0.5
     ) / (1 + z / n)
     for (entity, w), seen in contexts.items():
-        together = len(where[w] & holding[entity])
+        together = len(both[entity, w])
         share = together / len(where[w]) if where[w] else 0
         if together == 0 or share < 0.8 or lower(min(len(seen), together), len(where[w]) - together) < 0.5:
             continue
