@@ -5,11 +5,16 @@ other rules have no fixed cutoff: for each language and source, quantile sketche
 value at a high rank plus a multiple of its distance from the value at a low rank, and a document beyond a fence is
 rejected. The fence of a source is drawn towards that of its language, and that towards the corpus, as if the wider
 group lent it PRIOR documents; so a small group goes by its language and a large one by itself, without a switch. A
-fence is never above that of the language or of the corpus, so that a bad source cannot excuse itself. Only the least
-distance is fixed; it keeps groups of equal values from rejecting their neighbours.
+fence is never above that of the language or of the corpus, so that a bad source cannot excuse itself.
 
-A sketch is a histogram of a measure in thousandths, at most 1,001 counters a group: values are shares, so buckets of
-equal width bound the error by 1/1000, two sketches merge by adding counters, in any order, and ranks are exact.
+Where most values are equal, as the many zeros of a measure that clean texts never show, the distance of two ranks is
+zero; wider ranks would soon lie among the junk itself. What counts as no distance then is the grain of the measure: the
+share that one symbol, line or word makes in a short document of the group, the one at the rank SHORT by size. So the
+least distance comes from sketches as well, and is no fixed number.
+
+A sketch is a histogram of whole numbers (shares in millionths, sizes) that keeps their first PRECISION binary digits:
+at most 2^PRECISION counters and as many halves for each further digit, a relative error below 1/64, and two sketches
+merge by adding counters, in any order. Ranks are exact between counters; the upper edge of a counter is what counts.
 
 Null text: no words, base_failed. Null language or source: a group of its own. Ties at a rank: the value there counts
 as within. Repeated rows: each is judged. Texts of any length. Empty table: no rows. Columns of the input stay, whatever
@@ -30,16 +35,18 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STRESS = "!?"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
-#: Measure -> two ranks of its sketch and the least spread between them, all in thousandths, and the reach beyond.
+#: Measure -> two ranks of its sketch in thousandths, the reach beyond, and the size that the measure is a share of.
 #: Ranks of 250 and 750 hold while under a quarter of a group is junk. Repeats are zero in most clean texts and spread
 #: widely in the others, so their ranks lie in the tail.
 MEASURES = {
-    "symbols": (250, 750, 4, 6),
-    "capitals": (250, 750, 4, 6),
-    "stress": (250, 750, 4, 6),
-    "same_lines": (500, 980, 20, 3),
-    "repeated": (500, 980, 20, 3),
+    "symbols": (250, 750, 6, "word_chars"),
+    "capitals": (250, 750, 6, "word_chars"),
+    "stress": (250, 750, 6, "word_chars"),
+    "same_lines": (500, 980, 3, "n_lines"),
+    "repeated": (500, 980, 3, "n_words"),
 }
+SIZES = ("word_chars", "n_lines", "n_words")
+WHOLE, PRECISION, SHORT = 1_000_000, 7, 250
 #: How many documents a wider group lends to the fence of a narrower one.
 PRIOR = 200
 KEY = ["lang", "source"]
@@ -82,11 +89,11 @@ def _repeated_words(w: Column) -> Column:
 
 #: What measure adds to its input.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-ADDED = (*COUNTS, "base_failed", *[f"m_{m}" for m in MEASURES])
+ADDED = (*COUNTS, "base_failed", "n_lines", *[f"m_{m}" for m in MEASURES])
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with the counts of the fixed rules and the measures m_* in thousandths."""
+    """docs with the counts of the fixed rules and the measures m_* in millionths."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: _without(x, SPACE_CHARS) > 0)
     out = aside(docs, "text").withColumn("_w", words(F.col("text"))).withColumn("_lines", lines)
@@ -98,13 +105,13 @@ def measure(docs: DataFrame) -> DataFrame:
             "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": _repeated_words(F.col("_w")).cast("long"),
-            "_n_lines": F.size("_lines").cast("long"),
+            "n_lines": F.size("_lines").cast("long"),
             "_capitals": F.length(text) - _without(text, CAPITALS),
             "_stress": F.length(text) - _without(text, STRESS),
         }
     )
     share = lambda part, whole: F.coalesce(
-        F.try_divide(F.lit(1000) * F.col(part), F.col(whole)), F.lit(0)
+        F.try_divide(F.lit(WHOLE) * F.col(part), F.col(whole)), F.lit(0)
     ).cast("int")
     return back(
         out,
@@ -112,19 +119,34 @@ def measure(docs: DataFrame) -> DataFrame:
         **{c: F.col(c) for c in COUNTS},
         base_failed=(F.col("n_words") < MIN_WORDS)
         | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words")),
+        n_lines=F.col("n_lines"),
         m_symbols=share("n_symbols", "word_chars"),
         m_capitals=share("_capitals", "word_chars"),
         m_stress=share("_stress", "word_chars"),
-        m_same_lines=share("n_dup_lines", "_n_lines"),
+        m_same_lines=share("n_dup_lines", "n_lines"),
         m_repeated=share("n_repeat_words", "n_words"),
     )
 
 
+def _dropped_bits(value: Column) -> Column:
+    """How many binary digits of a whole number a sketch does not keep."""
+    return F.greatest(F.length(F.bin(value)) - PRECISION, F.lit(0))
+
+
+def bucket(value: Column) -> Column:
+    """The lower edge of the counter of a value."""
+    bits = _dropped_bits(value)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, bits), bits)
+
+
+def _upper(edge: Column) -> Column:
+    return edge + F.call_function("shiftleft", F.lit(1).cast("long"), _dropped_bits(edge)) - 1
+
+
 def sketches(measured: DataFrame) -> DataFrame:
-    """One row for each language, source, measure and value in thousandths: the counters of the sketches."""
-    values = F.array(
-        *[F.struct(F.lit(m).alias("measure"), F.col(f"m_{m}").alias("value")) for m in MEASURES]
-    )
+    """One row for each language, source, measure or size, and counter: the sketches."""
+    kept = {m: f"m_{m}" for m in MEASURES} | {size: size for size in SIZES}
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(c).cast("long")).alias("value")) for m, c in kept.items()])
     return (
         measured.where(~F.col("base_failed"))
         .select(*KEY, F.explode(values).alias("m"))
@@ -144,20 +166,18 @@ def _fences(counters: DataFrame, by: list[str], name: str) -> DataFrame:
     placed = counters.withColumns(
         {"_to": F.sum("n").over(each.orderBy("value")), "_all": F.sum("n").over(each)}
     )
-    of = lambda i: reduce(
-        lambda a, m: F.when(F.col("measure") == m, F.lit(MEASURES[m][i])).otherwise(a), MEASURES, F.lit(None).cast("int")
-    )
     rank = lambda q: F.min(F.when(F.col("_to") * 1000 >= F.col("_all") * q, F.col("value")))
-    found = placed.groupBy(*by, "measure").agg(
-        rank(of(0)).alias("low"), rank(of(1)).alias("high"), F.max("_all").alias("docs")
-    )
-    found = found.withColumn("fence", F.col("high") + of(3) * F.greatest(F.col("high") - F.col("low"), of(2)))
-    return found.groupBy(*by).agg(
-        F.struct(
-            F.max("docs").alias("docs"),
-            *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(m) for m in MEASURES],
-        ).alias(name)
-    )
+    at = lambda m, q: F.max(F.when(F.col("measure") == m, F.col(f"_q{q}")))
+    ranks = sorted({SHORT, *[q for low, high, *_ in MEASURES.values() for q in (low, high)]})
+    found = placed.groupBy(*by, "measure").agg(*[rank(q).alias(f"_q{q}") for q in ranks], F.max("_all").alias("docs"))
+
+    def fence(m: str) -> Column:
+        low, high, reach, size = MEASURES[m]
+        grain = F.floor(F.lit(WHOLE) / F.greatest(at(size, SHORT), F.lit(1)))
+        top = _upper(at(m, high))
+        return (top + reach * F.greatest(top - at(m, low), grain)).alias(m)
+
+    return found.groupBy(*by).agg(F.struct(F.max("docs").alias("docs"), *[fence(m) for m in MEASURES]).alias(name))
 
 
 def fences(counters: DataFrame) -> DataFrame:
@@ -194,7 +214,7 @@ def judge(measured: DataFrame, counters: DataFrame) -> DataFrame:
     joined = rows.join(limit, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     within = reduce(
         lambda a, b: a & b,
-        [F.col(f"m_{m}") <= F.coalesce(F.col(f"_fence.{m}"), F.lit(1000.0)) for m in MEASURES],
+        [F.col(f"m_{m}") <= F.coalesce(F.col(f"_fence.{m}"), F.lit(float(WHOLE))) for m in MEASURES],
     )
     return back(joined, measured, kept=~F.col("base_failed") & within)
 
@@ -206,5 +226,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     measures would compute the words of a text again for every word.
     """
     tagged = measure(aside(docs, "text", *KEY))
-    measured = cut(tagged.drop("text", *COUNTS), "quality-measured")
+    measured = cut(tagged.drop("text", *[c for c in COUNTS if c not in SIZES]), "quality-measured")
     return judge(measured, sketches(measured)).where("kept").select("_doc.*")

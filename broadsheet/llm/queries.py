@@ -181,30 +181,35 @@ from d left join kept using (doc_id)""",
 }
 
 _SPACE = r"\x20\x09-\x0D"
-#: Measure -> part and whole in the SQL below, ranks, least distance and reach.
+#: Measure -> part and whole in the SQL below, ranks and reach.
 _MEASURES = {
-    "symbols": ("n_symbols", "word_chars", 250, 750, 4, 6),
-    "capitals": ("capitals", "word_chars", 250, 750, 4, 6),
-    "stress": ("stress", "word_chars", 250, 750, 4, 6),
-    "same_lines": ("n_dup_lines", "n_lines", 500, 980, 20, 3),
-    "repeated": ("n_repeat_words", "n_words", 500, 980, 20, 3),
+    "symbols": ("n_symbols", "word_chars", 250, 750, 6),
+    "capitals": ("capitals", "word_chars", 250, 750, 6),
+    "stress": ("stress", "word_chars", 250, 750, 6),
+    "same_lines": ("n_dup_lines", "n_lines", 500, 980, 3),
+    "repeated": ("n_repeat_words", "n_words", 500, 980, 3),
 }
 
 
 def _quality_sql() -> str:
     shares = ", ".join(
-        f"case when {whole} = 0 then 0 else floor(1000.0 * {part} / {whole})::int end as m_{m}" for m, (part, whole, *_) in _MEASURES.items()
+        f"case when {whole} = 0 then 0 else floor(1000000.0 * {part} / {whole})::int end as m_{m}" for m, (part, whole, *_) in _MEASURES.items()
     )
-    lists = ", ".join(f"list_sort(list(m_{m})) as s_{m}" for m in _MEASURES)
-    at = lambda m, q: f"s_{m}[(n * {q} + 999) // 1000]"
+    dropped = lambda v: f"greatest(length(bin({v}::bigint)) - 7, 0)"
+    edge = lambda v: f"(({v}::bigint >> {dropped(v)}) << {dropped(v)})"
+    kept = [*[f"m_{m}" for m in _MEASURES], "word_chars", "n_lines", "n_words"]
+    lists = ", ".join(f"list_sort(list({edge(c)})) as s_{c}" for c in kept)
+    at = lambda c, q: f"s_{c}[(n * {q} + 999) // 1000]"
+    top = lambda c, q: f"({at(c, q)} + (1::bigint << {dropped(at(c, q))}) - 1)"
     fences = ", ".join(
-        f"({at(m, hi)} + {reach} * greatest({at(m, hi)} - {at(m, lo)}, {least}))::double as f_{m}" for m, (_, _, lo, hi, least, reach) in _MEASURES.items()
+        f"({top('m_' + m, hi)} + {reach} * greatest({top('m_' + m, hi)} - {at('m_' + m, lo)}, 1000000 // greatest({at(whole, 250)}, 1)))::double as f_{m}"
+        for m, (_, whole, lo, hi, reach) in _MEASURES.items()
     )
     group = lambda by: f"select {by + ', ' if by else ''}n, {fences} from (select {by + ', ' if by else ''}count(*) as n, {lists} from good {'group by ' + by if by else ''})"
     one = lambda m: f"(l.n * l.f_{m} + 200 * c.f_{m}) / (l.n + 200.0)"
     two = lambda m: f"(o.n * o.f_{m} + 200 * {one(m)}) / (o.n + 200.0)"
-    within = " and ".join(f"m_{m} <= coalesce(least(c.f_{m}, {one(m)}, {two(m)}), 1000)" for m in _MEASURES)
-    columns = ", ".join(["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *[f"m_{m}" for m in _MEASURES]])
+    within = " and ".join(f"m_{m} <= coalesce(least(c.f_{m}, {one(m)}, {two(m)}), 1000000)" for m in _MEASURES)
+    columns = ", ".join(["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", *[f"m_{m}" for m in _MEASURES]])
     return rf"""
 with d as (select doc_id, lang, source, coalesce(text, '') as text, {_WORDS.format("text")} as w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) as ls from documents),
