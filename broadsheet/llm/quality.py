@@ -111,7 +111,7 @@ def measure(docs: DataFrame) -> DataFrame:
         }
     )
     share = lambda part, whole: F.coalesce(
-        F.try_divide(F.lit(WHOLE) * F.col(part), F.col(whole)), F.lit(0)
+        F.try_divide(F.lit(WHOLE) * F.col(part).cast("long"), F.col(whole)), F.lit(0)
     ).cast("int")
     return back(
         out,

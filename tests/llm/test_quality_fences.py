@@ -111,6 +111,12 @@ def test_no_fixed_distance_decides(spark):
     assert all(kept[i] == (signs <= 2) for i, (_, signs) in marked.items())
 
 
+def test_long_texts_overflow_nothing(spark):
+    docs = spark.createDataFrame([(0, "ABC!? " * 500_000, "en", "a"), (1, "ABC!?#\n" * 500_000, "en", "a")], SCHEMA)
+    rows = cut(quality.measure(docs).drop("text"), "measured").orderBy("doc_id").collect()
+    assert [(r.n_words, r.m_capitals, r.m_stress, r.m_symbols, r.m_repeated) for r in rows] == [(500_000, 600_000, 400_000, 0, 10**6), (500_000, 500_000, 333_333, 166_666, 10**6)]
+
+
 def test_sketches_keep_seven_digits(spark):
     numbers = [0, 1, 63, 127, 128, 129, 255, 256, 1000, 65_535, 10**6, 2**40 + 12345]
     got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", quality.bucket(F.col("n")), quality._upper(quality.bucket(F.col("n")))).collect()
