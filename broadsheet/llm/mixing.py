@@ -152,7 +152,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     rows = cut(sized(docs.select("doc_id", "text", "source")).select("source", "size", "key"), "mix-sizes")
     limits = budgets(rows)
-    doc = F.struct(*[F.col(c) for c in docs.columns])
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     tagged = sized(docs.withColumn("_doc", doc)).select("_doc", "source", "size", "key").where("size > 0")
     times = F.col("copies") + (F.col("key") < F.col("below")).cast("long")
     joined = tagged.join(limits, _same_source("source", "_src"), "left")

@@ -394,4 +394,4 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> Dat
 def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """docs with one document of each group of near copies, that of the smallest doc_id."""
     dropped = label(docs.select("doc_id", "text"), percent, shingle).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
