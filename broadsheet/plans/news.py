@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, rewrite, text
 from ..operators import accounts, clusters, edition, filters, stories
 from ..operators import items as items_
+from ..operators.lineage import shared_folder
+from ..sources import feeds
 from ..sources.feeds import FEED_ITEMS, SOURCES, feed_items, parse_feed, raw_items, sample_sources
-from . import build
+from . import backfill, build
 from .sql import SPACE, any_word, facts_of, headed_of, listed, quoted, replaced_each, sentences_of, terms_of, tokens_of, words_of
 
 NOW = "2024-01-31 00:00:00"
@@ -544,6 +548,16 @@ def edition_items(spark, sf_dir):
     return items_.prepare(raw_items(spark, sf_dir), sample_sources(spark, sf_dir))
 
 
+@_query()
+def edition_days(spark, sf_dir):
+    """Editions of days in a row, while feeds list an item for three days: what one day shows, the next seven leave out."""
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    backfill.backfill(feeds.listed_items(spark, sf_dir), sample_sources(spark, sf_dir), path)
+    return backfill.pages(spark, path).select(
+        "edition_date", "section", "section_no", "place", "story_id", "id", "headline", "source", "beat", "outlets", "camps", "verdict", "coverage"
+    )
+
+
 @_query()
 def edition_pages(spark, sf_dir):
     """The whole chain: raw items to the pages of all days, with what is shown of each story."""

@@ -72,6 +72,13 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listed_items(spark: SparkSession, sf_dir: str, days: int = 3) -> DataFrame:
+    """The same items as feeds keep listing them: in the edition of their own day and in those of the days after it."""
+    items = raw_items(spark, sf_dir).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+    later = {"edition_date": F.date_add("edition_date", F.col("_k")), "now": F.col("now") + F.make_dt_interval("_k")}
+    return items.withColumns(later).drop("_k")
+
+
 def read_feeds(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
     """What a fetcher left in a landing folder, one file `<source id>.xml` a feed: source_id, source_ord, xml, error.
 

@@ -1,8 +1,8 @@
-"""Reader notes as a stream: validation, a limit for each client, and a sink that runs once for what has arrived."""
+"""Reader notes as a stream: validation, a limit for each client, links once a week, and a table of what has arrived."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,16 +103,3 @@ def windows(events: DataFrame, who: str, ts: str = "ts", late: str = "5 minutes"
 def store(notes: DataFrame, path: str, checkpoint: str):
     """Append what has arrived to a table of notes, then stop; a rerun goes on where the last one ended."""
     return notes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def by_edition(rows: DataFrame, path: str, checkpoint: str, make: Callable[[DataFrame], DataFrame] = lambda x: x):
-    """Write what has arrived (with edition_date) to a table of editions, then stop.
-
-    Each batch replaces the partitions of its own days, so a batch that runs again after a failure changes nothing.
-    """
-
-    def replace(batch: DataFrame, _: int) -> None:
-        out = make(batch)
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("edition_date").parquet(path)
-
-    return rows.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from broadsheet.functions import text
 from broadsheet.operators import accounts, clusters, edition, enrich, items, stories
 from broadsheet.plans import build
 from broadsheet.sources import feeds
-from broadsheet.streaming import notes
+from broadsheet.streaming import notes, sink
 
 AT = dt.datetime(2024, 3, 5, 12)
 SOURCES = {
@@ -326,6 +326,6 @@ def test_limits_refuse_and_links_come_once(spark, tmp_path):
     links = [("k", AT), ("k", AT + dt.timedelta(days=2)), ("l", AT)]
     spark.createDataFrame(links, "link_key string, ts timestamp").write.parquet(f"{tmp_path}/links")
     seen = notes.first_links(spark.readStream.schema("link_key string, ts timestamp").parquet(f"{tmp_path}/links"))
-    days = notes.by_edition(seen.withColumn("edition_date", F.to_date("ts")), f"{tmp_path}/out", f"{tmp_path}/state")
+    days = sink.by_edition(seen.withColumn("edition_date", F.to_date("ts")), f"{tmp_path}/out", f"{tmp_path}/state")
     days.awaitTermination()
-    assert sorted(r.link_key for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["k", "l"]
+    assert sorted(r.link_key for r in sink.read(spark, f"{tmp_path}/out").collect()) == ["k", "l"]
