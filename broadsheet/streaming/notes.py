@@ -61,6 +61,7 @@ STATE, OUT = "times array<long>", "client string, ts timestamp, allowed boolean"
 def limited(events: DataFrame, most: int = LIMIT, seconds: int = SECONDS, late: str = "5 minutes") -> DataFrame:
     """client, ts, allowed of a stream of events (client, ts): false once `most` were allowed in the `seconds` before.
 
+    Events are judged as they come, in order of time within a trigger; limits.in_order waits until all have come.
     The state of a client is the at most `most` times that still count; it goes once the watermark has left them behind.
     """
 
@@ -69,16 +70,14 @@ def limited(events: DataFrame, most: int = LIMIT, seconds: int = SECONDS, late:
             state.remove()
             return
         times = list(state.get[0]) if state.exists else []
-        last = 0
-        for x in batches:
-            x = x.sort_values("ts")
-            let = []
-            for at in (int(t.value) // 1_000_000 for t in x["ts"]):
-                times = [t for t in times if t > at - seconds * 1000]
-                let.append(len(times) < most)
-                times += [at] * let[-1]
-                last = max(last, at)
-            yield pd.DataFrame({"client": key[0], "ts": x["ts"], "allowed": let})
+        x = pd.concat(list(batches)).sort_values("ts")  # of one client in one trigger, in however many Arrow batches
+        let, last = [], 0
+        for at in (int(t.value) // 1_000_000 for t in x["ts"]):
+            times = [t for t in times if t > at - seconds * 1000]
+            let.append(len(times) < most)
+            times += [at] * let[-1]
+            last = max(last, at)
+        yield pd.DataFrame({"client": key[0], "ts": x["ts"], "allowed": let})
         state.update((times,))
         state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
