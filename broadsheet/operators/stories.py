@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import BEATS, BIG_CLAIMS, CAMP_NAMES, DOCUMENTED, FRAMING, NATIONAL, STATED, UNNAMED
 from ..functions.text import AHEAD, BEHIND, headed, plain_words, story_id, terms, tokens, whole
 from .edition import first_of
+from .lineage import settled
 
 
 def term_counts(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -92,12 +93,98 @@ def same_wording(items: DataFrame, n: int = 7, least: float = 0.25) -> DataFrame
     return out.where(F.col("overlap") >= least)
 
 
+#: From here on outlets count as cloned. Stories without such a pair are looked through for their closest one in steps;
+#: below the last step an overlap rounds to nothing.
+CLONED, CLOSER, CLOSEST = 0.25, 0.05, 0.005
+
+
+def wording_classes(items: DataFrame, n: int = 7) -> DataFrame:
+    """story_id, class, size, shingles, outlets: the different sets of shingles of a story, however many items have them."""
+    hashed = F.transform(
+        F.array(plain_words(F.coalesce("summary_text", F.lit("")))),
+        lambda w: F.array_sort(F.array_distinct(
+            F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n))))
+            .otherwise(F.array().cast("array<bigint>"))
+        )),
+    )[0]
+    sets = items.select("story_id", "outlet", hashed.alias("shingles")).where(F.size("shingles") > 0)
+    keyed = sets.withColumn("class", F.md5(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ",")))
+    # the outlets first and the sets once: what travels for a text that many outlets print is its key
+    return keyed.groupBy("story_id", "class").agg(
+        F.first("shingles").alias("shingles"), F.array_sort(F.collect_set("outlet")).alias("outlets")
+    ).withColumn("size", F.size("shingles"))
+
+
+def alike(classes: DataFrame, least: float) -> DataFrame:
+    """story_id, overlap, outlets_a, outlets_b of the pairs of classes that share `least` of the smaller one's shingles.
+
+    Of the smaller class of a pair only a prefix is looked up, its shingles by rising number of classes that have them:
+    whoever shares enough with it has one of those. Shingles of boilerplate come last and are left out first. What is
+    found is confirmed on whole sets. Only classes with different outlets count.
+    """
+    each = classes.select("story_id", "class", "size", F.explode("shingles").alias("shingle"))
+    spread = each.groupBy("story_id", "shingle").agg(F.count("*").alias("_in"))
+    listed = each.join(spread, ["story_id", "shingle"])
+    rarest = Window.partitionBy("story_id", "class").orderBy("_in", "shingle")
+    prefix = listed.withColumn("_k", F.row_number().over(rarest)).where(
+        (F.col("_k") <= F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1) & (F.col("_in") > 1)
+    )
+    small = prefix.select("story_id", "shingle", F.col("class").alias("a"), F.col("size").alias("_n"))
+    large = listed.where("_in > 1").select("story_id", "shingle", F.col("class").alias("b"), F.col("size").alias("_m"))
+    met = small.join(large, ["story_id", "shingle"]).where("_n < _m or (_n = _m and a < b)").select("story_id", "a", "b").distinct()
+    side = lambda k: classes.select("story_id", F.col("class").alias(k), F.col("shingles").alias(f"_s{k}"), F.col("outlets").alias(f"outlets_{k}"))
+    both = met.join(side("a"), ["story_id", "a"]).join(side("b"), ["story_id", "b"])
+    overlap = F.size(F.array_intersect("_sa", "_sb")) / F.least(F.size("_sa"), F.size("_sb"))
+    apart = F.size(F.array_union("outlets_a", "outlets_b")) > 1
+    return both.where(apart).select("story_id", overlap.alias("overlap"), "outlets_a", "outlets_b").where(F.col("overlap") >= least)
+
+
+def clones(items: DataFrame, n: int = 7) -> DataFrame:
+    """story_id, clone_best, cloned_outlets: how close the wording of two outlets comes, and whose is nearly the same.
+
+    Items with the same wording are one class, so a text that many outlets print makes no pairs at all.
+    """
+    classes = settled(wording_classes(items, n))
+    own = classes.where(F.size("outlets") > 1).select("story_id", F.lit(1.0).alias("overlap"), F.col("outlets").alias("cloned"))
+    # an outlet is cloned if the other class has another outlet
+    one = lambda x, y: F.when(F.size(y) > 1, F.col(x)).otherwise(F.array_except(x, y))
+    near = alike(classes, CLONED).select("story_id", "overlap", F.concat(one("outlets_a", "outlets_b"), one("outlets_b", "outlets_a")).alias("cloned"))
+    found = settled(own.unionByName(near))
+    told = found.select("story_id", "overlap")
+    for least in (CLOSER, CLOSEST):
+        rest = classes.join(told.select("story_id").distinct(), "story_id", "left_anti")
+        told = told.unionByName(settled(alike(rest, least).select("story_id", "overlap")))
+    best = told.groupBy("story_id").agg(F.round(F.max("overlap"), 2).alias("clone_best"))
+    outlets = found.select("story_id", F.explode("cloned").alias("_o")).groupBy("story_id").agg(F.array_sort(F.collect_set("_o")).alias("cloned_outlets"))
+    return best.join(outlets, "story_id", "left")
+
+
 def bursts(items: DataFrame, hours: int = 3) -> DataFrame:
-    """story_id, burst: most different outlets within `hours` of an item, both ends included. Null times are ignored."""
+    """story_id, burst: most different outlets within `hours` of an item, both ends included. Null times are ignored.
+
+    An outlet counts for every window that begins up to `hours` before one of its items. Items of an outlet in one slot
+    of that length make one such interval, and intervals of an outlet that meet are joined; a sweep over the borders
+    then counts the outlets. The sweep is cut into stretches of time, whose sums and peaks are put together at the end,
+    so a story of any size is swept by many tasks.
+    """
+    span = hours * 3_600_000
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    ahead = Window.partitionBy("story_id").orderBy("_ms").rangeBetween(0, hours * 3_600_000)
-    timed = items.where("ts is not null").withColumn("_ms", ms)
-    return timed.withColumn("_k", F.size(F.collect_set("outlet").over(ahead))).groupBy("story_id").agg(F.max("_k").cast("long").alias("burst"))
+    timed = items.where("ts is not null and outlet is not null").select("story_id", "outlet", ms.alias("_ms"))
+    slots = timed.groupBy("story_id", "outlet", F.floor(F.col("_ms") / span).alias("_slot")).agg(F.min("_ms").alias("_from"), F.max("_ms").alias("_to"))
+    own = Window.partitionBy("story_id", "outlet").orderBy("_slot")
+    meets = F.coalesce(F.col("_from") - span <= F.lag("_to").over(own), F.lit(False))
+    met_next = F.coalesce(F.lead("_from").over(own) - span <= F.col("_to"), F.lit(False))
+    borders = F.array(
+        F.when(~F.col("_meets"), F.struct((F.col("_from") - span).alias("at"), F.lit(1).alias("d"))),
+        F.when(~F.col("_met"), F.struct((F.col("_to") + 1).alias("at"), F.lit(-1).alias("d"))),
+    )
+    steps = slots.withColumns({"_meets": meets, "_met": met_next}).select("story_id", F.explode(borders).alias("_b")).where("_b is not null")
+    summed = steps.groupBy("story_id", F.col("_b.at").alias("at")).agg(F.sum("_b.d").alias("d"))
+    stretch = Window.partitionBy("story_id", "_part").orderBy("at")
+    swept = summed.withColumn("_part", F.floor(F.col("at") / (8 * span))).withColumn("_so_far", F.sum("d").over(stretch))
+    peaks = swept.groupBy("story_id", "_part").agg(F.max("_so_far").alias("_peak"), F.sum("d").alias("_net"))
+    before = F.coalesce(F.sum("_net").over(Window.partitionBy("story_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return peaks.withColumn("_top", before + F.col("_peak")).groupBy("story_id").agg(F.max("_top").cast("long").alias("burst"))
 
 
 def first_seen(value: Column, order: Column) -> Column:
@@ -114,27 +201,27 @@ def signals(items: DataFrame) -> DataFrame:
     """
     camp = lambda *names: F.col("camp").isin(*names)
     side, state = ~camp("state", "independent"), camp("state")
-    share = lambda hit: F.round(F.avg(hit.cast("double")), 2)
-    distinct = lambda when, c: F.array_sort(F.collect_set(F.when(when, F.col(c))))
-    base = items.withColumn("_t", headed(F.col("title"), F.col("summary_text"))).groupBy("story_id").agg(
+    said = {"_unnamed": UNNAMED, "_stated": STATED, "_documented": DOCUMENTED}
+    read = items.withColumn("_t", headed(F.col("title"), F.col("summary_text"))).withColumns({c: F.col("_t").rlike(whole(w)).cast("long") for c, w in said.items()})
+    # one row for each outlet of a story first, so that a story of many items is summed in many tasks
+    per = read.groupBy("story_id", "outlet", "camp", "state").agg(F.min("ord").alias("ord"), F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in said])
+    share = lambda hits: F.round(F.sum(hits).cast("double") / F.sum("_n"), 2)
+    seen = lambda when, c: first_seen(F.when(when, F.col(c)), F.col("ord"))
+    base = per.groupBy("story_id").agg(
         F.count_distinct("outlet").alias("outlets"),
-        F.array_sort(F.collect_set("camp")).alias("camps"),
-        share(F.col("_t").rlike(whole(UNNAMED))).alias("anonymous"),
-        share(F.col("_t").rlike(whole(STATED))).alias("statement_led"),
-        F.bool_or(F.col("_t").rlike(whole(DOCUMENTED))).alias("documented"),
-        share(state).alias("state_share"),
-        distinct(state, "outlet").alias("state_outlets"),
-        distinct(state, "state").alias("states"),
+        first_seen(F.col("camp"), F.col("ord")).alias("camps"),
+        share(F.col("_unnamed")).alias("anonymous"),
+        share(F.col("_stated")).alias("statement_led"),
+        F.coalesce(F.max("_documented") > 0, F.lit(False)).alias("documented"),
+        share(F.when(state, F.col("_n")).otherwise(0)).alias("state_share"),
+        seen(state, "outlet").alias("state_outlets"),
+        seen(state, "state").alias("states"),
         F.bool_and(state).alias("state_only"),
         F.count_distinct(F.when(~state, F.col("outlet"))).alias("non_state_outlets"),
-        distinct(side, "camp").alias("_sides"),
-        distinct(side, "outlet").alias("_side_outlets"),
-    )
-    pairs = same_wording(items, least=0.0)
-    best = pairs.groupBy("story_id").agg(
-        F.round(F.max("overlap"), 2).alias("clone_best"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("overlap") >= 0.25, F.array("outlet_a", "outlet_b")))))).alias("cloned_outlets"),
+        seen(side, "camp").alias("_sides"),
+        seen(side, "outlet").alias("_side_outlets"),
     )
+    best = clones(items)
     alone = F.size("_sides") == 1
     none = F.array().cast("array<string>")
     found = base.join(best, "story_id", "left").join(bursts(items), "story_id", "left").withColumns(

@@ -419,17 +419,25 @@ def fuller_account(spark, sf_dir):
 # ---- signals, verdicts, framing
 
 _SIDE = "camp not in ('state', 'independent')"
+
+
+def _seen(column: str, when: str = "true") -> str:
+    """The distinct values in the order of their first item."""
+    every = f"coalesce(list({column} order by ord) filter ({when}), [])"
+    return f"list_filter({every}, lambda x, i: list_position({every}, x) = i)"
+
+
 SIGNALS = f"""{HEADED}, {WORDING}, {BURST},
-base as (select story_id, count(distinct outlet) as outlets, list_sort(list(distinct camp)) as camps,
+base as (select story_id, count(distinct outlet) as outlets, {_seen("camp")} as camps,
   round(avg(regexp_matches(t2, '{any_word(lexicons.UNNAMED)}')::int), 2) as anonymous,
   round(avg(regexp_matches(t2, '{any_word(lexicons.STATED)}')::int), 2) as statement_led,
   bool_or(regexp_matches(t2, '{any_word(lexicons.DOCUMENTED)}')) as documented,
   round(avg((camp = 'state')::int), 2) as state_share,
-  list_sort(coalesce(list(distinct outlet) filter (camp = 'state'), [])) as state_outlets,
-  list_sort(coalesce(list(distinct state) filter (camp = 'state' and state is not null), [])) as states, bool_and(camp = 'state') as state_only,
+  {_seen("outlet", "camp = 'state'")} as state_outlets,
+  {_seen("state", "camp = 'state' and state is not null")} as states, bool_and(camp = 'state') as state_only,
   count(distinct outlet) filter (camp <> 'state') as non_state_outlets,
   count(distinct outlet) filter ({_SIDE}) as n_side, count(distinct camp) filter ({_SIDE}) as sides, min(camp) filter ({_SIDE}) as side,
-  list_sort(list(distinct outlet) filter ({_SIDE})) as side_names from head group by story_id),
+  {_seen("outlet", _SIDE)} as side_names from head group by story_id),
 best as (select story_id, round(max(overlap), 2) as clone_best from wording group by 1),
 cl as (select story_id, list_sort(list(distinct outlet)) as cloned_outlets from (select story_id, oa as outlet from wording where overlap >= 0.25
   union select story_id, ob from wording where overlap >= 0.25) group by 1),
