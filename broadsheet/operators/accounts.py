@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import ACCOUNT_ORDER
+from ..functions.lexicons import ACCOUNT_ORDER, CAMP_ORDER
 from ..functions.text import (
     AHEAD, BEHIND, hard_facts, headed, overlap, proper_names, restates, same_idea, sentences, shingles, terms,
 )
@@ -150,6 +150,25 @@ def coverage(items: DataFrame) -> DataFrame:
     return first_of(items, ["story_id", "outlet"], F.col("ord"))
 
 
+def camp_place(camp: Column) -> Column:
+    """The place of a camp in the order in which pages show camps; others come last."""
+    at = F.array_position(F.array(*[F.lit(c) for c in CAMP_ORDER]), camp)
+    return F.coalesce(F.nullif(at, F.lit(0)), F.lit(len(CAMP_ORDER) + 1)).cast("long")
+
+
+def by_camp(covered: DataFrame) -> DataFrame:
+    """story_id, camp_no, camp, outlets: who covers a story, camp after camp as a page lists them. covered: coverage."""
+    grouped = covered.groupBy("story_id", "camp").agg(F.array_sort(F.collect_list(F.struct("ord", "outlet", "link", "title"))).alias("_o"))
+    shown = F.transform("_o", lambda x: F.struct(x["outlet"].alias("source"), x["title"].alias("title"), x["link"].alias("link")))
+    return grouped.where(F.col("camp").isin(*CAMP_ORDER)).select("story_id", camp_place(F.col("camp")).alias("camp_no"), "camp", shown.alias("outlets"))
+
+
+def registry_by_camp(sources: DataFrame) -> DataFrame:
+    """sources as the page's list of newsrooms has them: by camp, then in their order, the first of each outlet."""
+    placed = sources.where(F.col("camp").isin(*CAMP_ORDER)).withColumn("camp_no", camp_place(F.col("camp")))
+    return first_of(placed, ["outlet"], F.col("camp_no"), F.col("source_ord"))
+
+
 def fuller_account(
     stories: DataFrame, covered: DataFrame, most: int = 6, most_chars: int = 1100, rounds: int = 10
 ) -> DataFrame:

@@ -501,6 +501,24 @@ def framing_splits(spark, sf_dir):
     return stories.framing(feed_items(spark, sf_dir), FAMILIES)
 
 
+_CAMPS = "[" + ", ".join(quoted(c) for c in lexicons.CAMP_ORDER) + "]"
+
+
+@_query(f"""with {ITEMS}, c as (select *, row_number() over (partition by story_id, outlet order by ord) as k from items)
+select story_id, list_position({_CAMPS}, camp)::bigint as camp_no, camp, list(outlet order by ord) as outlets, list(link order by ord) as links
+from c where k = 1 and list_contains({_CAMPS}, camp) group by story_id, camp""")
+def coverage_by_camp(spark, sf_dir):
+    found = accounts.by_camp(accounts.coverage(feed_items(spark, sf_dir)))
+    return found.select("story_id", "camp_no", "camp", F.col("outlets.source").alias("outlets"), F.col("outlets.link").alias("links"))
+
+
+@_query(f"""with {SOURCES.format(documents="documents").join(["s as (", ")"])}, p as (select *, list_position({_CAMPS}, camp)::bigint as camp_no from s),
+r as (select *, row_number() over (partition by outlet order by camp_no, source_ord) as k from p where camp_no > 0)
+select outlet, camp_no, camp, lean, owner from r where k = 1""")
+def registry_by_camp(spark, sf_dir):
+    return accounts.registry_by_camp(sample_sources(spark, sf_dir)).select("outlet", "camp_no", "camp", "lean", "owner")
+
+
 # ---- editions
 
 
