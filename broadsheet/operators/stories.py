@@ -103,34 +103,41 @@ def wording_classes(items: DataFrame, n: int = 7) -> DataFrame:
     hashed = F.transform(
         F.array(plain_words(F.coalesce("summary_text", F.lit("")))),
         lambda w: F.array_sort(F.array_distinct(
-            F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n))))
+            F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))
             .otherwise(F.array().cast("array<bigint>"))
         )),
     )[0]
-    sets = items.select("story_id", "outlet", hashed.alias("shingles")).where(F.size("shingles") > 0)
-    keyed = sets.withColumn("class", F.md5(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ",")))
+    sets = items.select("story_id", "outlet", hashed.alias("shingles"))
+    # two hashes of the sorted set, of 64 bits each
+    keyed = sets.withColumn("class", F.concat_ws("/", F.hex(F.xxhash64("shingles")), F.hex(F.xxhash64(F.reverse("shingles")))))
     # the outlets first and the sets once: what travels for a text that many outlets print is its key
     return keyed.groupBy("story_id", "class").agg(
         F.first("shingles").alias("shingles"), F.array_sort(F.collect_set("outlet")).alias("outlets")
-    ).withColumn("size", F.size("shingles"))
+    ).withColumn("size", F.size("shingles")).where("size > 0")
+
+
+def shared_shingles(classes: DataFrame) -> DataFrame:
+    """story_id, class, size, shingle, place of the shingles that two classes of a story have or more.
+
+    place counts from the rarest shingle of a class on; those that it has alone come first and are only counted.
+    """
+    each = classes.select("story_id", "class", "size", F.explode("shingles").alias("shingle"))
+    spread = each.groupBy("story_id", "shingle").agg(F.count("*").alias("_in")).where("_in > 1")
+    of_class = Window.partitionBy("story_id", "class")
+    place = F.col("size") - F.count("*").over(of_class) + F.row_number().over(of_class.orderBy("_in", "shingle"))
+    return each.join(spread, ["story_id", "shingle"]).select("story_id", "class", "size", "shingle", place.alias("place"))
 
 
-def alike(classes: DataFrame, least: float) -> DataFrame:
+def alike(classes: DataFrame, shared: DataFrame, least: float) -> DataFrame:
     """story_id, overlap, outlets_a, outlets_b of the pairs of classes that share `least` of the smaller one's shingles.
 
     Of the smaller class of a pair only a prefix is looked up, its shingles by rising number of classes that have them:
     whoever shares enough with it has one of those. Shingles of boilerplate come last and are left out first. What is
     found is confirmed on whole sets. Only classes with different outlets count.
     """
-    each = classes.select("story_id", "class", "size", F.explode("shingles").alias("shingle"))
-    spread = each.groupBy("story_id", "shingle").agg(F.count("*").alias("_in"))
-    listed = each.join(spread, ["story_id", "shingle"])
-    rarest = Window.partitionBy("story_id", "class").orderBy("_in", "shingle")
-    prefix = listed.withColumn("_k", F.row_number().over(rarest)).where(
-        (F.col("_k") <= F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1) & (F.col("_in") > 1)
-    )
+    prefix = shared.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1)
     small = prefix.select("story_id", "shingle", F.col("class").alias("a"), F.col("size").alias("_n"))
-    large = listed.where("_in > 1").select("story_id", "shingle", F.col("class").alias("b"), F.col("size").alias("_m"))
+    large = shared.select("story_id", "shingle", F.col("class").alias("b"), F.col("size").alias("_m"))
     met = small.join(large, ["story_id", "shingle"]).where("_n < _m or (_n = _m and a < b)").select("story_id", "a", "b").distinct()
     side = lambda k: classes.select("story_id", F.col("class").alias(k), F.col("shingles").alias(f"_s{k}"), F.col("outlets").alias(f"outlets_{k}"))
     both = met.join(side("a"), ["story_id", "a"]).join(side("b"), ["story_id", "b"])
@@ -145,15 +152,16 @@ def clones(items: DataFrame, n: int = 7) -> DataFrame:
     Items with the same wording are one class, so a text that many outlets print makes no pairs at all.
     """
     classes = settled(wording_classes(items, n))
+    shared = settled(shared_shingles(classes))
     own = classes.where(F.size("outlets") > 1).select("story_id", F.lit(1.0).alias("overlap"), F.col("outlets").alias("cloned"))
     # an outlet is cloned if the other class has another outlet
     one = lambda x, y: F.when(F.size(y) > 1, F.col(x)).otherwise(F.array_except(x, y))
-    near = alike(classes, CLONED).select("story_id", "overlap", F.concat(one("outlets_a", "outlets_b"), one("outlets_b", "outlets_a")).alias("cloned"))
+    near = alike(classes, shared, CLONED).select("story_id", "overlap", F.concat(one("outlets_a", "outlets_b"), one("outlets_b", "outlets_a")).alias("cloned"))
     found = settled(own.unionByName(near))
     told = found.select("story_id", "overlap")
     for least in (CLOSER, CLOSEST):
-        rest = classes.join(told.select("story_id").distinct(), "story_id", "left_anti")
-        told = told.unionByName(settled(alike(rest, least).select("story_id", "overlap")))
+        rest = shared.join(told.select("story_id").distinct(), "story_id", "left_anti")
+        told = told.unionByName(settled(alike(classes, rest, least).select("story_id", "overlap")))
     best = told.groupBy("story_id").agg(F.round(F.max("overlap"), 2).alias("clone_best"))
     outlets = found.select("story_id", F.explode("cloned").alias("_o")).groupBy("story_id").agg(F.array_sort(F.collect_set("_o")).alias("cloned_outlets"))
     return best.join(outlets, "story_id", "left")
