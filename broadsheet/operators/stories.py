@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import BEATS, BIG_CLAIMS, CAMP_NAMES, DOCUMENTED, FRAMING, NATIONAL, STATED, UNNAMED
+from ..functions.lexicons import BEATS, BIG_CLAIMS, CAMP_NAMES, DOCUMENTED, FRAMING, NATIONAL, REASONS, STATED, UNNAMED, VERDICT_TITLES
 from ..functions.text import AHEAD, BEHIND, headed, plain_words, story_id, terms, tokens, whole
 from .edition import first_of
 from .lineage import settled
@@ -269,41 +269,40 @@ def verdict(found: DataFrame) -> DataFrame:
 def explained(graded: DataFrame) -> DataFrame:
     """graded (signals with verdict) with the title of the verdict and its reasons; null where there is no verdict."""
     named = F.element_at(F.create_map(*[F.lit(x) for pair in CAMP_NAMES.items() for x in pair]), F.col("sole_camp"))
-    titles = {
-        "manufactured": F.lit("This looks like a coordinated push"),
-        "single-source": F.lit("Many outlets, one source"),
-        "anonymous": F.lit("Relies on unnamed sources"),
-        "one-sided": F.concat(F.lit("Only "), named, F.lit(" is running this")),
-        "under-covered": F.lit("Only independent outlets have this"),
-    }
+    titles = {grade: _filled(t, named) for grade, t in VERDICT_TITLES.items()}
     title = F.coalesce(*[F.when(F.col("verdict") == grade, t) for grade, t in titles.items()])
     return graded.withColumns({"verdict_title": title, "reasons": F.when(F.col("verdict").isNotNull(), reasons())})
 
 
+def _filled(sentence: str, *values: Column) -> Column:
+    """A sentence with its gaps {} filled in turn; null if a value is."""
+    first, *others = sentence.split("{}")
+    parts = [x for value, after in zip(values, others, strict=True) for x in (value.cast("string"), F.lit(after))]
+    return F.concat(F.lit(first), *parts)
+
+
 def reasons() -> Column:
     """What was counted, in sentences; a fixed one where nothing stands out. Needs the columns of signals."""
     c = F.col
-    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     several = c("outlets") >= 3
-    source = said(c("cloned"), " outlets used nearly the same wording, so this is likely one source repeated, not ", c("cloned"), " separate reports")
-    sides = F.array_join("side_outlets", ", ")
-    found = F.array(
-        F.when(c("cloned") >= 3, source).when(c("cloned") == 2, "two outlets used nearly the same wording"),
-        F.when((c("anonymous") >= 0.5) & several, "most of the coverage relies on unnamed officials"),
-        F.when(~c("documented") & (c("outlets") >= 4), "none of the coverage points to a document, court ruling, report or data"),
-        F.when((c("statement_led") >= 0.5) & several, "most of the coverage repeats a press release or official statement"),
-        F.when(c("burst") >= 6, said(c("burst"), " outlets published it within the same three hours")),
-        F.when(c("one_sided"), said("reported by ", sides, ", and no outlet from the other side")),
-        F.when(c("only_independent"), "no left, center or right outlet has reported it yet"),
-    )
-    kept = F.filter(found, lambda x: x.isNotNull())
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("based on how the story was covered")))
+    counted = {
+        "one wording": (c("cloned") >= 3, c("cloned"), c("cloned")),
+        "two alike": (c("cloned") == 2,),
+        "unnamed": ((c("anonymous") >= 0.5) & several,),
+        "undocumented": (~c("documented") & (c("outlets") >= 4),),
+        "stated": ((c("statement_led") >= 0.5) & several,),
+        "burst": (c("burst") >= 6, c("burst")),
+        "one side": (c("one_sided"), F.array_join("side_outlets", ", ")),
+        "independent": (c("only_independent"),),
+    }
+    kept = F.array_compact(F.array(*[F.when(holds, _filled(REASONS[of], *values)) for of, (holds, *values) in counted.items()]))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(REASONS["nothing"])))
 
 
 def worth_saying(reasons_: Column, title: Column) -> Column:
     """Reasons that do more than restate the title."""
     letters = lambda t: F.regexp_replace(F.lower(t), "[^a-z]", "")
-    return F.filter(reasons_, lambda r: ~letters(r).contains(letters(title)) & (letters(r) != "basedonhowthestorywascovered"))
+    return F.filter(reasons_, lambda r: ~letters(r).contains(letters(title)) & (letters(r) != letters(F.lit(REASONS["nothing"]))))
 
 
 def confidence(outlets: Column, camps: Column, big_claim: Column) -> Column:
