@@ -1,0 +1,88 @@
+"""Near-dedup where buckets go on in blocks, over several rounds, and what the bands find near the bound."""
+
+import random
+
+import pytest
+
+from broadsheet.llm import near_dedup
+
+from .corpus import table
+
+
+def sets_of(given, n):
+    words = [t.split(" ") for t in given]
+    return [frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in words]
+
+
+def linked(given, percent, n):
+    """Every pair of texts that are similar enough, and the smallest index of each text's component, by trying all pairs."""
+    sets = sets_of(given, n)
+    least, pairs = list(range(len(given))), []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                pairs.append((j, i))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            low = min(least[i], least[j])
+            changed |= least[i] != low or least[j] != low
+            least[i] = least[j] = low
+    return pairs, least
+
+
+def varied(rng, base, changes):
+    out = base[:]
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"x{rng.randrange(10**6)}"
+    return out
+
+
+def crowded(rng):
+    """Texts that share bands with a common text, and are close to some others but not all: star, chains, strangers."""
+    base = [f"w{i}" for i in range(200)]
+    out = [" ".join(varied(rng, base, rng.randrange(2, 14))) for _ in range(90)]
+    for _ in range(6):
+        chain = varied(rng, base, 9)
+        for _ in range(8):
+            chain = varied(rng, chain, 2)
+            out.append(" ".join(chain))
+    out += [" ".join(f"y{rng.randrange(10**6)}" for _ in range(60)) for _ in range(10)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("block,growth", [(4, 2), (7, 3)])
+def test_blocks_over_several_rounds(spark, monkeypatch, block, growth):
+    rounds = []
+    meet = near_dedup._in_blocks
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "GROWTH", growth)
+    monkeypatch.setattr(near_dedup, "_in_blocks", lambda open_, sets, since, until, percent: rounds.append((since, until)) or meet(open_, sets, since, until, percent))
+    given = crowded(random.Random(block))
+    got = {r.doc_id: r.component_id for r in near_dedup.label(table(spark, given), percent=85, shingle=3).collect()}
+    assert [got[i] for i in range(len(given))] == linked(given, 85, 3)[1]
+    assert len(rounds) >= 3 and all(a[1] == b[0] for a, b in zip(rounds, rounds[1:]))
+
+
+def test_blocks_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 600)  # three texts of a crowded bucket
+    given = crowded(random.Random(3))
+    got = {r.doc_id: r.component_id for r in near_dedup.label(table(spark, given), percent=85, shingle=3).collect()}
+    assert [got[i] for i in range(len(given))] == linked(given, 85, 3)[1]
+
+
+def test_recall_just_above_the_bound(spark):
+    """Pairs between 80 and 85 percent, each with no other way to be joined: five words, the stage of the pipeline."""
+    rng = random.Random(8)
+    given = []
+    while len(given) < 1200:
+        base = [f"b{rng.randrange(10**6)}" for _ in range(rng.randrange(120, 260))]
+        other = varied(rng, base, rng.randrange(2, 6))
+        a, b = sets_of([" ".join(base), " ".join(other)], 5)
+        if 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b):
+            given += [" ".join(base), " ".join(other)]
+    got = {r.doc_id: r.component_id for r in near_dedup.label(table(spark, given)).collect()}
+    assert [got[i] for i in range(len(given))] == [i - i % 2 for i in range(len(given))]
