@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import BEATS, BIG_CLAIMS, CAMP_NAMES, DOCUMENTED, FRAMING, NATIONAL, REASONS, STATED, UNNAMED, VERDICT_TITLES
-from ..functions.text import AHEAD, BEHIND, headed, plain_words, story_id, terms, tokens, whole
+from ..functions.text import AHEAD, BEHIND, bind, headed, plain_words, story_id, terms, tokens, whole
 from .edition import first_of
 from .lineage import settled
 
@@ -100,13 +100,20 @@ CLONED, CLOSER, CLOSEST = 0.25, 0.05, 0.005
 
 def wording_classes(items: DataFrame, n: int = 7) -> DataFrame:
     """story_id, class, size, shingles, outlets: the different sets of shingles of a story, however many items have them."""
-    hashed = F.transform(
-        F.array(plain_words(F.coalesce("summary_text", F.lit("")))),
-        lambda w: F.array_sort(F.array_distinct(
-            F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))
-            .otherwise(F.array().cast("array<bigint>"))
-        )),
-    )[0]
+    def longer(step: int):
+        """Of hashes of runs of words: each put together with the one `step` words on; the last ones have none."""
+
+        def of(hashes: Column) -> Column:
+            left = F.greatest(F.size(hashes) - step, F.lit(0))
+            return F.zip_with(F.slice(hashes, 1, left), F.slice(hashes, step + 1, left), lambda x, y: F.xxhash64(x, y))
+
+        return of
+
+    words_of, length = F.transform(plain_words(F.coalesce("summary_text", F.lit(""))), lambda w: F.xxhash64(w)), 1
+    while length < n:
+        step = min(length, n - length)
+        words_of, length = bind(words_of, longer(step)), length + step
+    hashed = F.sort_array(F.array_distinct(words_of))
     sets = items.select("story_id", "outlet", hashed.alias("shingles"))
     # two hashes of the sorted set, of 64 bits each
     keyed = sets.withColumn("class", F.concat_ws("/", F.hex(F.xxhash64("shingles")), F.hex(F.xxhash64(F.reverse("shingles")))))
