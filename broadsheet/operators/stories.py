@@ -276,7 +276,7 @@ def verdict(found: DataFrame) -> DataFrame:
 def explained(graded: DataFrame) -> DataFrame:
     """graded (signals with verdict) with the title of the verdict and its reasons; null where there is no verdict."""
     named = F.element_at(F.create_map(*[F.lit(x) for pair in CAMP_NAMES.items() for x in pair]), F.col("sole_camp"))
-    titles = {grade: _filled(t, named) for grade, t in VERDICT_TITLES.items()}
+    titles = {grade: _filled(t, *[named] * t.count("{}")) for grade, t in VERDICT_TITLES.items()}
     title = F.coalesce(*[F.when(F.col("verdict") == grade, t) for grade, t in titles.items()])
     return graded.withColumns({"verdict_title": title, "reasons": F.when(F.col("verdict").isNotNull(), reasons())})
 
