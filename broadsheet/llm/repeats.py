@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,33 +119,41 @@ def _segments(docs: DataFrame, symbols: Symbols, length: int, anchor: int, exten
     return docs.select("at", F.col("text").cast("binary").alias("text")).mapInPandas(found, kind)
 
 
-def _windows(docs: DataFrame, probes: DataFrame, symbols: Symbols, length: int) -> DataFrame:
-    """at, start, w1, w2, weight: the windows of the segments that are to be compared one by one."""
+def _spelled_out(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (at, text, probes) the windows of their segments, those of many texts in one batch of about CHUNK."""
+    held, size = [], 0
+    for x in batches:
+        texts, probes = x.column("text"), x.column("probes")
+        bounds, each_probe = probes.offsets.to_numpy(), probes.values
+        low, high, weight = (each_probe.field(c).to_numpy().astype(np.int64) for c in ("low", "high", "weight"))
+        for i, at in enumerate(x.column("at").to_numpy().tolist()):
+            s = symbols(texts[i].as_py())
+            two, three = _SECOND.sums(s), _THIRD.sums(s)
+            for k in range(bounds[i], bounds[i + 1], AT_ONCE):
+                part = slice(k, min(k + AT_ONCE, bounds[i + 1]))
+                n = high[part] - low[part] + 1
+                start = np.arange(n.sum()) + np.repeat(low[part] - (np.cumsum(n) - n), n)
+                end = start + length
+                w1, w2 = mixed(_SECOND.some(two, start, end)), mixed(_THIRD.some(three, start, end))
+                held.append((np.full(len(start), at), start.astype(np.int32), w1.astype(np.int64), w2.astype(np.int64), np.repeat(weight[part], n).astype(np.int32)))
+                size += len(start)
+                if size >= CHUNK:
+                    yield _together(held)
+                    held, size = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["at", "start", "w1", "w2", "weight"])
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for at, text, probe in zip(x["at"], x["text"], x["probes"], strict=True):
-                s = symbols(text)
-                two, three = _SECOND.sums(s), _THIRD.sums(s)
-                for k in range(0, len(probe), AT_ONCE):
-                    rows = np.array([[r["low"], r["high"], r["weight"]] for r in probe[k : k + AT_ONCE]], np.int64)
-                    n = rows[:, 1] - rows[:, 0] + 1
-                    each = np.repeat(np.arange(len(rows)), n)
-                    start = np.arange(len(each)) - (np.cumsum(n) - n)[each] + rows[each, 0]
-                    end = start + length
-                    yield pd.DataFrame(
-                        {
-                            "at": at,
-                            "start": start.astype(np.int32),
-                            "w1": mixed(_SECOND.some(two, start, end)).astype(np.int64),
-                            "w2": mixed(_THIRD.some(three, start, end)).astype(np.int64),
-                            "weight": rows[each, 2].astype(np.int32),
-                        }
-                    )
 
+def _windows(docs: DataFrame, probes: DataFrame, symbols: Symbols, length: int) -> DataFrame:
+    """at, start, w1, w2, weight: the windows of the segments that are to be compared one by one."""
     by_doc = probes.groupBy("at").agg(F.collect_list(F.struct("low", "high", "weight")).alias("probes"))
     texts = docs.select("at", F.col("text").cast("binary").alias("text"))
-    return texts.join(by_doc, "at").mapInPandas(found, "at long, start int, w1 long, w2 long, weight int")
+    kind = "at long, start int, w1 long, w2 long, weight int"
+    return texts.join(by_doc, "at").mapInArrow(lambda batches: _spelled_out(batches, symbols, length), kind)
 
 
 def _bounds(place: str = "place") -> list:
