@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
-from ..operators import edition, filters, stories
+from ..operators import edition, filters, stories, weights
 from ..streaming import notes
 from . import news
 from .sql import any_word, sentences_of, tokens_of
@@ -57,9 +57,8 @@ def idf_table(spark, sf_dir):
 @_query(f"""with {TFIDF}, r as (select doc_id, term, round(weight, 6) as weight,
 row_number() over (partition by doc_id order by round(weight, 6) desc, term) as k from vec) select doc_id, term, weight, k from r where k <= 5""")
 def tfidf_top_terms(spark, sf_dir):
-    vectors = stories.tfidf(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
-    return vectors.withColumn("k", F.row_number().over(order).cast("long")).where("k <= 5")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))  # a row is a block of documents
+    return weights.heaviest(_read(spark, sf_dir, "documents"), "doc_id", "text", 5)
 
 
 @_query(rf"""select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text,
