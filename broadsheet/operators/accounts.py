@@ -24,9 +24,12 @@ from .stories import camp_terms, crossed_terms, first_seen
 MOVES_ON = "and|also|meanwhile|plus|elsewhere"
 
 
-def core_terms(items: DataFrame, title: str = "title") -> DataFrame:
-    """story_id, term: the terms of two headlines or more, or of any where fewer than two are in two."""
-    each = items.select("story_id", F.explode(F.array_distinct(terms(F.col(title)))).alias("term"))
+def core_terms(items: DataFrame, title: str = "title", held: Column | None = None) -> DataFrame:
+    """story_id, term: the terms of two headlines or more, or of any where fewer than two are in two.
+
+    held: the terms of the headline of an item, where they are known already.
+    """
+    each = items.select("story_id", F.explode(F.array_distinct(terms(F.col(title))) if held is None else held).alias("term"))
     counts = each.groupBy("story_id", "term").agg(F.count("*").alias("_n"))
     enough = counts.groupBy("story_id").agg((F.count_if(F.col("_n") >= 2) >= 2).alias("_two"))
     return counts.join(enough, "story_id").where(~F.col("_two") | (F.col("_n") >= 2)).select("story_id", "term")
@@ -38,20 +41,32 @@ def _sentences_of(items: DataFrame, n: int = 3) -> DataFrame:
     return items.select("story_id", "camp", "outlet", "ord", F.posexplode(said).alias("pos", "text"))
 
 
+def _read(items: DataFrame, n: int = 3) -> DataFrame:
+    """story_id, camp, outlet, ord, said (the first n sentences of the summary), and the terms of the title and of title and
+    opening. Texts are read for this once; n is two or more."""
+    summary = F.coalesce("summary_text", F.lit(""))
+    said = items.select("story_id", "camp", "outlet", "ord", "title", summary.alias("_summary"), first_sentences(summary, n).alias("said"))
+    opened = F.when(F.size("said") > 0, F.array_join(F.slice("said", 1, 2), " ")).otherwise(F.col("_summary"))
+    head = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), opened)
+    listed = [F.array_distinct(terms(text)).alias(name) for name, text in (("title_terms", F.col("title")), ("head_terms", head))]
+    return settled(said.select("story_id", "camp", "outlet", "ord", "said", *listed))
+
+
 def account_candidates(items: DataFrame) -> DataFrame:
     """story_id, ord, pos, text, outlet, camp, score: sentences about the story, by how many of their terms cross camps."""
-    said = _sentences_of(items).where(
+    read = _read(items)
+    said = read.select("story_id", "camp", "outlet", "ord", F.posexplode("said").alias("pos", "text")).where(
         ~F.col("text").rlike(r"^[a-z0-9]") & ~F.col("text").rlike(rf"(?i)^(?:{MOVES_ON}){AHEAD}[,:]?\s")
     )
     each = said.select("story_id", "ord", "pos", F.explode(terms(F.col("text"))).alias("term"))
-    crossed = crossed_terms(items).select("story_id", "term", F.lit(True).alias("_crossed"))
-    core = core_terms(items).withColumn("_core", F.lit(True))
+    crossed = crossed_terms(read, F.col("head_terms")).select("story_id", "term", F.lit(True).alias("_crossed"))
+    core = core_terms(read, held=F.col("title_terms")).withColumn("_core", F.lit(True))
     flags = each.join(crossed, ["story_id", "term"], "left").join(core, ["story_id", "term"], "left")
     counts = flags.groupBy("story_id", "ord", "pos").agg(
         F.count("*").alias("_terms"), F.count("_core").alias("_hits"), F.count_distinct(F.when(F.col("_crossed"), F.col("term"))).alias("_k")
     )
     score = F.col("_k") / F.sqrt(F.col("_terms")) + F.size(hard_facts(F.col("text"))) * 0.4
-    several = items.groupBy("story_id").agg(F.count_distinct("camp").alias("_c")).where("_c >= 2").select("story_id")
+    several = read.groupBy("story_id").agg(F.count_distinct("camp").alias("_c")).where("_c >= 2").select("story_id")
     scored = said.join(counts.where("_terms >= 4 and _hits >= 2"), ["story_id", "ord", "pos"]).join(several, "story_id", "left_semi")
     return scored.select("story_id", "ord", "pos", "text", "outlet", "camp", score.alias("score"))
 
@@ -63,16 +78,18 @@ def _picked_first(rows: DataFrame, best: Column, columns: list[str]) -> DataFram
 
 def shared_account(items: DataFrame, most: int = 3, least: float = 0.6, alike: float = 0.3) -> DataFrame:
     """story_id, place, text, outlet, camp, score: the best sentences, one of an outlet, none close to one before it."""
-    columns = ["text", "outlet", "camp", "score", "ord", "pos"]
-    left = settled(account_candidates(items).where(F.col("score") >= least))
+    columns = ["text", "outlet", "camp", "score", "ord", "pos", "_sh"]
+    # what sentences are compared by is made once, and a pick is not made again for the next one
+    hashed = F.transform(shingles(F.col("text"), 5), lambda x: F.xxhash64(x))
+    left = settled(account_candidates(items).where(F.col("score") >= least).withColumn("_sh", hashed))
     picks = []
     for place in range(most):
-        pick = _picked_first(left, F.struct(-F.col("score"), "ord", "pos"), columns).withColumn("place", F.lit(place))
+        pick = settled(_picked_first(left, F.struct(-F.col("score"), "ord", "pos"), columns).withColumn("place", F.lit(place)))
         picks.append(pick)
         if place + 1 < most:
-            last = pick.select("story_id", F.col("text").alias("_text"), F.col("outlet").alias("_outlet"))
-            apart = (F.col("outlet") != F.col("_outlet")) & (overlap(shingles(F.col("_text"), 5), shingles(F.col("text"), 5)) <= alike)
-            left = left.join(last, "story_id").where(apart).drop("_text", "_outlet")
+            last = pick.select("story_id", F.col("_sh").alias("_last"), F.col("outlet").alias("_outlet"))
+            apart = (F.col("outlet") != F.col("_outlet")) & (overlap(F.col("_last"), F.col("_sh")) <= alike)
+            left = left.join(last, "story_id").where(apart).drop("_last", "_outlet")
     return reduce(DataFrame.unionByName, picks).select("story_id", "place", "text", "outlet", "camp", "score")
 
 
